@@ -1,0 +1,20 @@
+"""Save and load fitted models (Spark ML writers underneath)."""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import SparkSession
+
+from rankloom.operators.boosting import RankingTrees
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path) if not isinstance(model, RankingTrees) else model.save(path)
+
+
+def load_pipeline(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def load_ranking_trees(spark: SparkSession, path: str) -> RankingTrees:
+    return RankingTrees.load(spark, path)

@@ -1,0 +1,5 @@
+"""Kept empty on purpose: no operator of this library is a streaming one.
+
+Rates and position statistics are refreshed by re-running the batch operators
+(``encode.apply_rates``, ``stats.position_profile``, ...) on a schedule.
+"""
