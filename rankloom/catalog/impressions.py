@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.catalog.registry import NUDGE, places
 from rankloom.roles import Roles
 
 TIES = ("position", "prop_id", "srch_destination_id", "price_usd", "tiebreak_ts")
@@ -125,8 +126,9 @@ def with_impressions(body: str, **ctes: str) -> str:
 
 
 def r(expr: str, name: str | None = None) -> str:
-    """A rounded double with a name; -0.0 becomes 0.0 as on the other side."""
-    return f"(round(cast({expr} as double), 6) + 0.0e0) as {name or expr}"
+    """A rounded double with a name, as ``registry.tidy`` does on the other side."""
+    name = name or expr
+    return f"(round(cast({expr} as double) + {NUDGE!r}::double, {places(name)}) + 0.0e0) as {name}"
 
 
 def rs(*names: str) -> str:

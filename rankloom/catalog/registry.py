@@ -30,12 +30,25 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+# Rounding for comparison. Engines add numbers up in different orders, so amounts are
+# compared to 4 places and the rest to 6; the nudge keeps values that end exactly in half a
+# unit (cents divided by 8, say) from falling on either side.
+AMOUNTS = ("price", "ppn", "fee", "ump", "count_window", "mean", "std", "min", "max", "median", "low", "high", "adr")
+NUDGE = 1.3e-8
+
+
+def places(name: str) -> int:
+    return 4 if any(a in name for a in AMOUNTS) else 6
+
+
 def tidy(df: DataFrame) -> DataFrame:
-    """Round doubles to 6 places (and turn -0.0 into 0.0) so engines can be compared."""
+    """Round doubles (and turn -0.0 into 0.0) so engines can be compared."""
     out = []
     for n, t in df.dtypes:
         c = F.col(f"`{n}`")
-        out.append((F.round(c.cast("double"), 6) + F.lit(0.0)).alias(n) if t in ("double", "float") else c)
+        if t in ("double", "float"):
+            c = (F.round(c.cast("double") + F.lit(NUDGE), places(n)) + F.lit(0.0)).alias(n)
+        out.append(c)
     return df.select(*out)
 
 

@@ -192,11 +192,11 @@ def _prefix_by_range(
     """
     keys = list(keys)
     df = materialise(
-        df.withColumn("_w", weight)
+        df.withColumn("_weight", weight)
         .repartitionByRange(*[F.col(k) for k in keys], *order)
         .withColumn("_part", F.spark_partition_id())
     )
-    sums = df.groupBy(*keys, "_part").agg(F.sum("_w").alias("_sum"))
+    sums = df.groupBy(*keys, "_part").agg(F.sum("_weight").alias("_sum"))
     w = Window.partitionBy(*keys)
     offsets = sums.select(
         *[F.col(k).alias("_off_" + k) for k in keys],
@@ -209,11 +209,11 @@ def _prefix_by_range(
     )
     joined = df.join(F.broadcast(offsets), same_keys(df, offsets, [*keys, "_part"], "_off_"), "inner")
     local = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = {before: F.coalesce(F.sum("_w").over(local), F.lit(0)) + F.col("_offset")}
+    out = {before: F.coalesce(F.sum("_weight").over(local), F.lit(0)) + F.col("_offset")}
     if total:
         out[total] = F.col("_total")
     return joined.withColumns(out).drop(
-        "_w", "_part", "_offset", "_total", *["_off_" + k for k in keys], "_off__part"
+        "_weight", "_part", "_offset", "_total", *["_off_" + k for k in keys], "_off__part"
     )
 
 
