@@ -8,6 +8,8 @@ rows per task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
+from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,12 +24,9 @@ def discount(rank: Column) -> Column:
 
 
 def _discount_sums(k: int) -> Column:
-    """Array d with d[m] = sum of the first m discounts, m = 0..k."""
-    one_by_one = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: discount(i))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(k)),
-        lambda m: F.aggregate(F.slice(one_by_one, F.lit(1), m), F.lit(0.0), lambda a, x: a + x),
-    )
+    """Constant array d with d[m] = sum of the first m discounts, m = 0..k."""
+    sums = accumulate((1.0 / log2(i + 1) for i in range(1, k + 1)), initial=0.0)
+    return F.array(*[F.lit(x) for x in sums])
 
 
 def _gain_of_steps(steps: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str) -> DataFrame:
