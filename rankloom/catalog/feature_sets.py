@@ -36,24 +36,74 @@ def _row_sql(names) -> str:
     return with_impressions(f"select {KEY_SQL}, {cols} from imp")
 
 
-def _row_query(name: str, make, doc: str) -> None:
-    names = list(make(ROLES))
-
+def _row_query(name: str, make, columns: tuple[str, ...], doc: str) -> None:
     def run(spark, sf):
-        df = impressions(spark, sf)
-        return df.select(*KEYS, *[c.alias(n) for n, c in make(ROLES).items()])
+        made = make(ROLES)
+        return impressions(spark, sf).select(*KEYS, *[made[c].alias(c) for c in columns])
 
     run.__doc__ = doc
-    register(name, _row_sql(names))(run)
+    register(name, _row_sql(columns))(run)
 
 
-_row_query("f1_f3_price_features", features.price_features, "log price, price per night and its log")
-_row_query("f4_f10_composite_features", features.composite_features, "price, fee, star and score composites")
-_row_query("f12_f13_alignment_features", features.alignment_features, "distance to the visitor's history")
-_row_query("f14_f17_competitor_features", features.competitor_features, "counts and mean over competitors")
-_row_query("f18_f20_party_features", features.party_features, "family flag, party size, guests per room")
-_row_query("f21_f23_calendar_features", features.calendar_features, "parts of search and check-in time")
-_row_query("f25_f27_missing_flags", features.missing_flags, "missing and zero flags")
+_row_query(
+    "f1_f3_price_features",
+    features.price_features,
+    ("log_price_usd", "price_per_night", "log_price_per_night"),
+    "log price, price per night and its log",
+)
+_row_query(
+    "f4_f10_composite_features",
+    features.composite_features,
+    ("ump", "price_diff", "starrating_diff", "per_fee", "total_fee", "score1d2", "score2ma"),
+    "price, fee, star and score composites",
+)
+_row_query(
+    "f12_f13_alignment_features",
+    features.alignment_features,
+    ("star_rating_alignment", "price_alignment"),
+    "distance to the visitor's history",
+)
+_row_query(
+    "f14_f17_competitor_features",
+    features.competitor_features,
+    ("num_comp_cheaper", "num_comp_more_expensive", "competitor_availability_pressure", "avg_comp_price_diff"),
+    "counts and mean over competitors",
+)
+_row_query(
+    "f18_f20_party_features",
+    features.party_features,
+    ("family_trip_flag", "group_travel_size", "guests_per_room"),
+    "family flag, party size, guests per room",
+)
+_row_query(
+    "f21_f23_calendar_features",
+    features.calendar_features,
+    (
+        "search_month",
+        "search_day_of_week",
+        "search_hour",
+        "checkin_datetime",
+        "checkin_month",
+        "checkin_day_of_week",
+    ),
+    "parts of search and check-in time",
+)
+_row_query(
+    "f25_f27_missing_flags",
+    features.missing_flags,
+    (
+        "visitor_history_star_missing",
+        "visitor_history_price_missing",
+        "missing_star_rating_flag",
+        "review_score_zero_flag",
+        "review_score_missing_flag",
+        "missing_historical_price_flag",
+        "affinity_score_missing_flag",
+        "distance_missing_flag",
+        "location_score2_missing_flag",
+    ),
+    "missing and zero flags",
+)
 
 
 @register(

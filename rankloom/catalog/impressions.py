@@ -128,7 +128,8 @@ def with_impressions(body: str, **ctes: str) -> str:
 def r(expr: str, name: str | None = None) -> str:
     """A rounded double with a name, as ``registry.tidy`` does on the other side."""
     name = name or expr
-    return f"(round(cast({expr} as double) + {NUDGE!r}::double, {places(name)}) + 0.0e0) as {name}"
+    unit = f"1e{places(name)}"
+    return f"(round((cast({expr} as double) + {NUDGE!r}::double) * {unit}) / {unit} + 0.0e0) as {name}"
 
 
 def rs(*names: str) -> str:

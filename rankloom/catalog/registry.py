@@ -47,7 +47,8 @@ def tidy(df: DataFrame) -> DataFrame:
     for n, t in df.dtypes:
         c = F.col(f"`{n}`")
         if t in ("double", "float"):
-            c = (F.round(c.cast("double") + F.lit(NUDGE), places(n)) + F.lit(0.0)).alias(n)
+            unit = F.lit(10.0 ** places(n))
+            c = (F.rint((c.cast("double") + F.lit(NUDGE)) * unit) / unit + F.lit(0.0)).alias(n)
         out.append(c)
     return df.select(*out)
 

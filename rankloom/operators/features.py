@@ -140,25 +140,38 @@ def interactions(pairs: Sequence[tuple[str, str]]) -> dict[str, Column]:
     return {f"{a}_x_{b}": dbl(a) * dbl(b) for a, b in pairs}
 
 
-def count_window(df: DataFrame, roles: Roles = Roles(), by: Sequence[str] = (), out: str = "count_window") -> DataFrame:
+def largest_window(df: DataFrame, roles: Roles = Roles(), by: Sequence[str] = ()) -> Column | DataFrame:
+    """Largest booking window of the table, or one row per value of ``by``."""
+    if by:
+        return df.groupBy(*by).agg(F.max(roles.window).alias("_max_window"))
+    return df.agg(F.max(roles.window)).scalar()
+
+
+def count_window(
+    df: DataFrame,
+    roles: Roles = Roles(),
+    by: Sequence[str] = (),
+    largest: Column | DataFrame | None = None,
+    out: str = "count_window",
+) -> DataFrame:
     """rooms * (largest booking window of the table) + booking window.
 
     ``by`` takes the maximum within each value of those columns (a handful, such as
     the train / test tag) instead of the whole table.
     """
+    if largest is None:
+        largest = largest_window(df, roles, by)
     if by:
-        largest = df.groupBy(*by).agg(F.max(roles.window).alias("_max_window"))
-        df = df.join(F.broadcast(largest), list(by), "left")
-        top = F.col("_max_window")
+        df, top = df.join(F.broadcast(largest), list(by), "left"), F.col("_max_window")
     else:
-        top = df.agg(F.max(roles.window)).scalar()
+        top = largest
     value = dbl(roles.rooms) * top.cast("double") + dbl(roles.window)
     return df.withColumn(out, value).drop("_max_window")
 
 
-def add_row_features(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
+def row_features(df: DataFrame, roles: Roles = Roles()) -> dict[str, Column]:
     """All features that need nothing but their own row."""
-    return df.withColumns(
+    return (
         price_features(roles)
         | composite_features(roles)
         | alignment_features(roles)
@@ -170,6 +183,11 @@ def add_row_features(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     )
 
 
+def add_row_features(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """Add all row features that are not there yet."""
+    return df.withColumns({n: c for n, c in row_features(df, roles).items() if n not in df.columns})
+
+
 # --- within the query ----------------------------------------------------------
 
 
@@ -299,10 +317,14 @@ def add_query_features(
     roles: Roles = Roles(),
     keys: Sequence[str] | None = None,
     hot: DataFrame | None | str = "detect",
+    more_ranks: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Query statistics, deviations, z-scores, ranks and flags in one pass over the query key."""
+    """Query statistics, deviations, z-scores, ranks and flags in one pass over the query key.
+
+    ``more_ranks`` ({output: column}) adds percentile ranks of further columns.
+    """
     keys = list(keys or [roles.query])
-    ranks = rank_columns(roles)
+    ranks = rank_columns(roles) | (more_ranks or {})
 
     def build(part: DataFrame, groups: Groups) -> DataFrame:
         part = groups.attach(part, **query_aggregates(roles))

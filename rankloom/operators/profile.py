@@ -77,15 +77,10 @@ def numeric_summary(
     fields = ["missing_count", "missing_fraction", "mean", "std", "min", "max"]
     if large is None:
         large = df.count() > hot_rows(df.sparkSession)
-    # the median sits between two values where the count is even, so it is read at both ends
-    probs = list(SUMMARY_PROBS.values())
+    # the median of an even number of values lies between two of them, hence its own rule
+    probs = [*SUMMARY_PROBS.values(), (0.5, "linear")]
     spread = quantiles(df, columns, probs, method, large)
-    middle = quantiles(df, columns, [0.5], "linear", large).withColumnRenamed("quantiles", "_m")
-    both = (
-        _tall(df.agg(*aggs), columns, fields)
-        .join(F.broadcast(spread), "variable", "left")  # one row per column
-        .join(F.broadcast(middle), "variable", "left")
-    )
+    both = _tall(df.agg(*aggs), columns, fields).join(F.broadcast(spread), "variable", "left")  # one row per column
     at = {n: F.element_at("quantiles", i + 1).alias(n) for i, n in enumerate(SUMMARY_PROBS)}
     return both.select(
         "variable",
@@ -97,7 +92,7 @@ def numeric_summary(
         at["q001"],
         at["q01"],
         at["q25"],
-        F.element_at("_m", 1).alias("median"),
+        F.element_at("quantiles", -1).alias("median"),
         at["q75"],
         at["q99"],
         at["q999"],

@@ -8,7 +8,7 @@ own size check.
 * ``hot_keys``   - which keys are hot (one column-pruned, map-side combined count)
 * ``grouped``    - run window-style work per key: ordinary keys by one hash
                    exchange, hot keys without ever putting a group in one task
-* ``attach``     - left join of per-key statistics to rows, hot keys salted
+* ``attach``     - join of per-key statistics to rows: broadcast, plain or salted
 * ``prefix_sum`` - exact running total inside groups of any size
 """
 
@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +24,7 @@ from rankloom.functions.columns import same_keys
 
 DEFAULT_HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 50_000
+BROADCAST_VALUES = 4_000_000  # rows x columns, about 32 MB
 
 
 def hot_rows(spark: SparkSession) -> int:
@@ -51,15 +50,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame | None:
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], limit: int | None = None, counted: str | None = None
+) -> DataFrame | None:
     """One row per hot key with its row count ``_n``, or None when no key is hot.
 
-    If more than MAX_HOT_KEYS keys pass the limit, the limit is raised until they
-    fit, so what reaches the driver (and is broadcast later) has a fixed bound.
+    ``counted`` names a column of counts when ``df`` already has one row per key. If more
+    than MAX_HOT_KEYS keys pass the limit, the limit is raised until they fit, so what
+    reaches the driver (and is broadcast later) has a fixed bound.
     """
     spark = df.sparkSession
     limit = limit or hot_rows(spark)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if counted:
+        counts = df.select(*keys, F.col(counted).cast("bigint").alias("_n"))
+    else:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     while True:
         found = counts.filter(F.col("_n") > limit).limit(MAX_HOT_KEYS + 1).collect()
         if not found:
@@ -133,6 +138,12 @@ def grouped(
     return build(cold_rows, Groups(keys)).unionByName(build(hot_part, Groups(keys, spread=True)))
 
 
+def is_small(settled: DataFrame) -> bool:
+    """Whether a materialised table has few enough values to be sent to every executor."""
+    most = BROADCAST_VALUES // max(1, len(settled.columns))
+    return settled.limit(most + 1).count() <= most
+
+
 def attach(
     rows: DataFrame,
     stats: DataFrame,
@@ -141,43 +152,65 @@ def attach(
     salt_by: Sequence[str] | None = None,
     how: str = "left",
     limit: int | None = None,
+    settle: bool = True,
 ) -> DataFrame:
-    """Join per-key statistics to rows; keys with many rows are split over tasks.
+    """Join per-key statistics (one row per key) to rows.
+
+    The statistics are materialised first - they are far smaller than the rows - so that
+    the join can be chosen by what they turned out to be:
+
+    * at most BROADCAST_VALUES values: broadcast, the rows are not shuffled at all;
+    * no key with more than ``limit`` rows: ordinary join on the keys;
+    * otherwise each hot key gets 1 + n / limit copies of its statistics and its rows pick
+      one by the hash of ``salt_by`` (all columns by default), so they are spread over
+      that many tasks.
 
     ``size`` is the statistics column with (at least) the number of ``rows`` behind a
-    key; it is dropped. Without it the rows are counted per key first. A key with n
-    rows gets 1 + n / limit copies of its statistics row, and its rows pick one by the
-    hash of ``salt_by`` (all columns by default), so a hot key is spread over that
-    many partitions. Ordinary keys have one copy.
+    key; it is dropped. Without it the rows are counted per key. ``settle=False`` skips the
+    first step for statistics that are already materialised and known to be large.
     """
-    spark = rows.sparkSession
-    limit = limit or hot_rows(spark)
     keys = list(keys)
-    counts = stats if size else rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    n = F.col(size or "_n")
-    pieces = (n / F.lit(limit)).cast("int") + F.lit(1)
-
-    # bounded: at most N / limit keys can pass this filter
-    hot = counts.filter(n > limit).select(*[F.col(k).alias("_hot_" + k) for k in keys], pieces.alias("_pieces"))
-    hash_cols = [F.col(f"`{c}`") for c in (salt_by or rows.columns)]
-    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
-    salt = (
-        F.when(F.col("_pieces").isNotNull(), F.pmod(F.xxhash64(*hash_cols), F.col("_pieces").cast("bigint")))
-        # a NULL key matches nothing: spread those rows instead of sending all to one task
-        .when(no_key, F.pmod(F.xxhash64(*hash_cols), F.lit(1 << 16)))
-        .otherwise(F.lit(0))
-        .cast("int")
-    )
+    if settle:
+        stats = materialise(stats)
+        if is_small(stats):
+            return rows.join(F.broadcast(stats.drop(size) if size else stats), keys, how)
+    limit = limit or hot_rows(rows.sparkSession)
+    if size:
+        sizes = stats.select(*keys, F.col(size).alias("_n"))
+        hot = hot_keys(sizes, keys, limit, counted="_n")
+        stats = stats.drop(size)
+    else:
+        hot = hot_keys(rows, keys, limit)
+    if hot is None:
+        return rows.join(stats, keys, how)
+    return _salted_join(rows, stats, keys, hot, limit, salt_by, how)
+
+
+def _salted_join(
+    rows: DataFrame,
+    stats: DataFrame,
+    keys: Sequence[str],
+    hot: DataFrame,
+    limit: int,
+    salt_by: Sequence[str] | None,
+    how: str,
+) -> DataFrame:
+    pieces = (F.col("_n") / F.lit(limit)).cast("int") + F.lit(1)
+    # bounded: see hot_keys
+    hot = F.broadcast(hot.select(*[F.col(k).alias("_hot_" + k) for k in keys], pieces.alias("_pieces")))
     helpers = ["_pieces", *["_hot_" + k for k in keys]]
-    left = (
-        rows.join(F.broadcast(hot), same_keys(rows, hot, keys, "_hot_"), "left")
-        .withColumn("_salt", salt)
+    columns = [F.col(f"`{c}`") for c in (salt_by or rows.columns)]
+    salt = F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(
+        F.pmod(F.xxhash64(*columns), F.col("_pieces").cast("bigint")).cast("int")
+    )
+    # a hot NULL key is salted like any other; it simply matches nothing
+    left = rows.join(hot, same_keys(rows, hot, keys, "_hot_"), "left").withColumn("_salt", salt).drop(*helpers)
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - F.lit(1))
+    right = (
+        stats.join(hot, same_keys(stats, hot, keys, "_hot_"), "left")
+        .withColumn("_salt", F.explode(copies))
         .drop(*helpers)
     )
-    if size is None:
-        stats = stats.join(F.broadcast(hot), same_keys(stats, hot, keys, "_hot_"), "left")
-        pieces = F.coalesce(F.col("_pieces"), F.lit(1))
-    right = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - F.lit(1)))).drop(size or "_n", *helpers)
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -26,11 +26,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators import clean, encode, features, splits, stats
-from rankloom.operators.skew import attach, hot_keys, hot_rows
+from rankloom.operators.skew import attach, hot_keys, hot_rows, materialise
 from rankloom.roles import Roles
 from rankloom.sources import tables
 
@@ -58,12 +58,22 @@ def clip_specs(roles: Roles) -> dict[str, tuple]:
     return {getattr(roles, role): ends for role, ends in CLIP_RULES.items()}
 
 
-def base_features(df: DataFrame, roles: Roles = Roles(), keys: Sequence[str] | None = None, hot="detect") -> DataFrame:
-    """Row features plus everything relative to the own query: one shuffle on the query."""
+def base_features(
+    df: DataFrame, roles: Roles = Roles(), keys: Sequence[str] | None = None, hot="detect", more_ranks=None
+) -> DataFrame:
+    """Row features plus everything relative to the own query.
+
+    One shuffle, on the query key. Only the price features are needed on its far side;
+    all other row features are computed after it, so they are never shuffled.
+    """
     keys = list(keys or [roles.query])
     by = [k for k in keys if k != roles.query]
-    rows = features.count_window(features.add_row_features(df, roles), roles, by)
-    return features.add_query_features(rows, roles, keys, hot)
+    if isinstance(hot, str):
+        hot = hot_keys(df, keys)
+    priced = df.withColumns(features.price_features(roles))
+    related = features.add_query_features(priced, roles, keys, hot, more_ranks)
+    largest = features.largest_window(df, roles, by)
+    return features.count_window(features.add_row_features(related, roles), roles, by, largest)
 
 
 def feature_table(
@@ -72,7 +82,11 @@ def feature_table(
     roles: Roles = Roles(),
     options: FeatureOptions = FeatureOptions(),
 ) -> DataFrame:
-    """All features for labelled and test rows; column ``split`` is train, val or test."""
+    """All features for labelled and test rows; column ``split`` is train, val or test.
+
+    Statistics are learnt from the raw rows and joined to the raw rows; the features
+    themselves are computed last, next to the one shuffle on the query key.
+    """
     o = options
     if o.clip_outliers:
         bounds = clean.fit_clip_bounds(labelled, clip_specs(roles), o.quantile_method)
@@ -85,15 +99,14 @@ def feature_table(
         shared = clean.align_types(test.select(*clean.common_columns(labelled, test)), labelled)
         tagged = shared.withColumns({"split": F.lit("test"), "_test": F.lit(1)})
         rows = rows.unionByName(tagged, allowMissingColumns=True)
+    rows = splits.add_fold(rows, roles.query, o.encode_folds, fold_expr=o.encode_expr, out="_fold")
+    rows = rows.withColumn("_variant", encode.variant("split", "_fold")).drop("_fold")
+    rows = rows.withColumn("checkin_month", features.calendar_features(roles)["checkin_month"])
 
     train_row = F.col("split") == "train"
     test_row = F.col("split") == "test"
-    keys = [roles.query, "_test"]
-    hot = hot_keys(rows, keys)
     salt = [roles.query, *roles.ties]
-
     raw = features.add_row_features(rows, roles)
-    base = base_features(rows, roles, keys, hot)
 
     # --- items: profile and frequency over all rows, position over train / labelled rows
     places = [
@@ -102,41 +115,19 @@ def feature_table(
     ]
     items = stats.item_profile(raw, roles, approximate_median=o.approximate_median, more=places)
     items = items.withColumn(f"{roles.item}_freq", F.col("_rows"))
-    df = attach(base, items, [roles.item], "_rows", salt)
+    df = attach(rows, items, [roles.item], "_rows", salt)
     df = _pick(df, ["prop_avg_position", "prop_best_position", "prop_position_std", "prop_nonrandom_appearances"])
-    df = df.withColumns(features.price_against_item(roles))
-    others = [k for k in roles.frequency_keys if k not in (roles.item, roles.market)]
-    df = stats.add_frequencies(df, raw, [k for k in others if k in raw.columns], salt)
-
-    # --- (market, item): estimated position and smoothed rates
-    mean_position = F.avg(F.when(F.col(roles.random_flag) == 0, F.col(roles.position)))
-    mean_train = F.avg(F.when((F.col(roles.random_flag) == 0) & train_row, F.col(roles.position)))
-    cells = raw.groupBy(roles.market, roles.item).agg(
-        F.try_divide(F.lit(1.0), mean_position).alias("estimated_position"),
-        F.try_divide(F.lit(1.0), mean_train).alias("estimated_position__train"),
-        F.count_if(F.col("split") == "train").alias("_n_train"),
-        F.count_if(F.col("split") == "val").alias("_n_val"),
-        F.count_if(test_row).alias("_n_test"),
-        F.count(F.lit(1)).alias("_cell_rows"),
-    )
-    medians = _position_medians(cells, raw)
-    positions = cells.drop("_n_train", "_n_val", "_n_test")
-    df = attach(df, positions, [roles.market, roles.item], "_cell_rows", salt)
-    df = _pick(df, ["estimated_position"])
-    df = df.join(F.broadcast(medians), "split", "left")  # one row per split
-    df = df.withColumn(
-        "estimated_position",
-        F.coalesce(F.col("estimated_position"), F.col("_median"), F.lit(stats.UNSEEN_POSITION)),
-    ).drop("_median")
+    others = [k for k in roles.frequency_keys if k not in (roles.item, roles.market) and k in rows.columns]
+    df = stats.add_frequencies(df, rows, others, salt)
 
     # --- markets
-    markets = raw.groupBy(roles.market).agg(
+    markets = rows.groupBy(roles.market).agg(
         *stats.market_aggs(roles, ~test_row),
         *stats.market_aggs(roles, train_row, "__train"),
         F.count(F.lit(1)).alias(f"{roles.market}_freq"),
     )
     df = attach(df, markets.withColumn("_size", F.col(f"{roles.market}_freq")), [roles.market], "_size", salt)
-    months = raw.groupBy(roles.market, "checkin_month").agg(
+    months = rows.groupBy(roles.market, "checkin_month").agg(
         *stats.month_aggs(roles, ~test_row),
         *stats.month_aggs(roles, train_row, "__train"),
         F.count(F.lit(1)).alias("_size"),
@@ -145,24 +136,60 @@ def feature_table(
     df = _pick(df, [*stats.market_helper_columns(), "dest_search_count"])
     df = df.withColumns(stats.market_zscores(roles)).drop(*stats.market_helper_columns())
 
-    # --- target rates
+    # --- target rates of items; position and rates of (market, item)
+    prior = encode.priors(rows.filter(train_row), encode.ITEM_TARGETS) if o.target_rates else {}
     if o.target_rates:
-        prior = encode.priors(rows.filter(train_row), encode.ITEM_TARGETS)
-        df = splits.add_fold(df, roles.query, o.encode_folds, fold_expr=o.encode_expr, out="_fold")
-        for rate_keys, targets in (
-            ([roles.item], encode.ITEM_TARGETS),
-            ([roles.market, roles.item], encode.MARKET_ITEM_TARGETS),
-        ):
-            narrow = raw.select(*dict.fromkeys([*rate_keys, roles.query, roles.click, roles.book, "split"]))
-            narrow = splits.add_fold(narrow, roles.query, o.encode_folds, fold_expr=o.encode_expr, out="_fold")
-            df = encode.encode_by_split(df, rate_keys, targets, "split", "_fold", prior, narrow, salt)
-        df = df.drop("_fold")
-
-    # --- rank of the item's usual position inside the query
-    df = features.add_percentile_ranks(
-        df, {"prop_avg_position_pct_rank": "prop_avg_position"}, keys, roles.ties, hot, size="query_hotel_count"
+        rates = encode.variant_rates(rows, [roles.item], encode.ITEM_TARGETS, prior)
+        df = attach(df, rates, [roles.item, "_variant"], "_size", salt)
+    pair = [roles.market, roles.item]
+    cells = materialise(_cells(rows, roles, prior if o.target_rates else None))
+    medians = _position_medians(cells, rows)
+    df = attach(df, cells, [*pair, "_variant"], "_size", salt)
+    df = df.join(F.broadcast(medians), "split", "left")  # one row per split
+    unseen = F.coalesce(F.col("estimated_position"), F.col("_median"), F.lit(stats.UNSEEN_POSITION))
+    filled = {"estimated_position": unseen}
+    if o.target_rates:
+        every = (*encode.ITEM_TARGETS, *encode.MARKET_ITEM_TARGETS)
+        filled |= {t.out: F.coalesce(F.col(t.out), F.lit(prior[t.label])) for t in every}
+    df = df.withColumns(filled).drop("_median", "_variant", "checkin_month")
+
+    # --- everything relative to the query, and the row features
+    keys = [roles.query, "_test"]
+    df = base_features(
+        df, roles, keys, hot_keys(rows, keys), {"prop_avg_position_pct_rank": "prop_avg_position"}
+    )
+    return df.withColumns(features.price_against_item(roles)).drop("_test")
+
+
+def _cells(rows: DataFrame, roles: Roles, prior: dict[str, float] | None) -> DataFrame:
+    """Per (market, item, variant): estimated position and, with a prior, smoothed rates.
+
+    Position sums are taken once per variant; train rows (variant >= 0) or all labelled
+    rows (>= -1) are added up over the at most folds + 2 rows of a pair.
+    """
+    pair = [roles.market, roles.item]
+    shown = F.col(roles.random_flag) == 0
+    targets = encode.MARKET_ITEM_TARGETS if prior is not None else ()
+    sums = rows.groupBy(*pair, "_variant").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(F.when(shown, F.col(roles.position))).alias("_pos"),
+        F.count(F.when(shown, F.col(roles.position))).alias("_shown"),
+        *[F.coalesce(F.sum(F.col(t.label).cast("bigint")), F.lit(0)).alias(f"_sum_{t.label}") for t in targets],
+    )
+    over = Window.partitionBy(*pair)
+
+    def visible(c: str) -> Column:
+        part = {v: F.sum(F.when(F.col("_variant") >= v, F.col(c))).over(over) for v in (0, -1)}
+        return F.when(F.col("_variant") == -2, part[-1]).otherwise(part[0])
+
+    rates = [c for t in targets for c in [encode.seen_rate(t, over, prior)]]
+    return sums.select(
+        *pair,
+        "_variant",
+        F.col("_n").alias("_size"),
+        F.try_divide(visible("_shown").cast("double"), visible("_pos")).alias("estimated_position"),
+        *rates,
     )
-    return df.drop("_test")
 
 
 def _pick(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -174,23 +201,11 @@ def _pick(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _position_medians(cells: DataFrame, rows: DataFrame) -> DataFrame:
     """Median estimated position per split over its rows, from the (market, item) table."""
+    split = F.when(F.col("_variant") >= 0, "train").when(F.col("_variant") == -1, "val").otherwise("test")
     large = rows.count() > hot_rows(rows.sparkSession)
-    per_split = cells.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(s).alias("split"), F.col(n).alias("_w"), F.col(c).alias("estimated_position"))
-                    for s, n, c in (
-                        ("train", "_n_train", "estimated_position__train"),
-                        ("val", "_n_val", "estimated_position__train"),
-                        ("test", "_n_test", "estimated_position"),
-                    )
-                ]
-            )
-        ).alias("_x")
-    ).select("_x.*")
-    per_split = per_split.filter(F.col("_w") > 0)
-    return stats.split_median(per_split, "estimated_position", "split", large=large, weight="_w")
+    return stats.split_median(
+        cells.withColumn("split", split), "estimated_position", "split", large=large, weight="_size"
+    )
 
 
 def write_feature_tables(table: DataFrame, path: str) -> None:

@@ -16,6 +16,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # generated methods above 8 kB of bytecode are never JIT-compiled: wide feature
+        # projections run faster as several small methods
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("RANKLOOM_DRIVER_MEMORY", "8g"))
