@@ -312,31 +312,35 @@ def add_group_minimum_flag(
     return grouped(df, keys, build, hot)
 
 
-def add_query_features(
+def add_query_windows(
     df: DataFrame,
     roles: Roles = Roles(),
     keys: Sequence[str] | None = None,
     hot: DataFrame | None | str = "detect",
     more_ranks: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Query statistics, deviations, z-scores, ranks and flags in one pass over the query key.
+    """Query statistics and ordinal ranks: all windows of the query key, one shuffle.
 
-    ``more_ranks`` ({output: column}) adds percentile ranks of further columns.
+    The ranks are still positions here; ``finish_query_features`` divides them.
+    ``more_ranks`` ({output: column}) ranks further columns.
     """
-    keys = list(keys or [roles.query])
     ranks = rank_columns(roles) | (more_ranks or {})
 
     def build(part: DataFrame, groups: Groups) -> DataFrame:
         part = groups.attach(part, **query_aggregates(roles))
-        part = groups.ordinal(part, **{o: ascending(c, roles.ties) for o, c in ranks.items()})
-        part = part.withColumns(query_relative_features(roles))
-        part = part.withColumns(
-            {o: F.when(F.col(c).isNotNull(), F.col(o) / F.col("query_hotel_count")) for o, c in ranks.items()}
-        )
-        promo = dbl(roles.promo) * F.col("price_diff_from_query_mean")
-        return part.withColumn("promotion_price_interaction", promo)
+        return groups.ordinal(part, **{o: ascending(c, roles.ties) for o, c in ranks.items()})
 
-    return grouped(df, keys, build, hot)
+    return grouped(df, list(keys or [roles.query]), build, hot)
+
+
+def finish_query_features(
+    df: DataFrame, roles: Roles = Roles(), more_ranks: dict[str, str] | None = None
+) -> DataFrame:
+    """Deviations, z-scores, percentile ranks and flags from the columns of ``add_query_windows``."""
+    ranks = rank_columns(roles) | (more_ranks or {})
+    shares = {o: F.when(F.col(c).isNotNull(), F.col(o) / F.col("query_hotel_count")) for o, c in ranks.items()}
+    promo = dbl(roles.promo) * (dbl(roles.price) - F.col("query_price_mean"))
+    return df.withColumns(query_relative_features(roles) | shares | {"promotion_price_interaction": promo})
 
 
 def price_against_item(roles: Roles = Roles()) -> dict[str, Column]:

@@ -166,14 +166,14 @@ def attach(
       that many tasks.
 
     ``size`` is the statistics column with (at least) the number of ``rows`` behind a
-    key; it is dropped. Without it the rows are counted per key. ``settle=False`` skips the
-    first step for statistics that are already materialised and known to be large.
+    key; it is dropped. Without it the rows are counted per key. ``settle=False`` is for
+    statistics that are materialised already.
     """
     keys = list(keys)
     if settle:
         stats = materialise(stats)
-        if is_small(stats):
-            return rows.join(F.broadcast(stats.drop(size) if size else stats), keys, how)
+    if is_small(stats):
+        return rows.join(F.broadcast(stats.drop(size) if size else stats), keys, how)
     limit = limit or hot_rows(rows.sparkSession)
     if size:
         sizes = stats.select(*keys, F.col(size).alias("_n"))

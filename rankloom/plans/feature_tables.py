@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators import clean, encode, features, splits, stats
-from rankloom.operators.skew import attach, hot_keys, hot_rows, materialise
+from rankloom.operators.skew import attach, hot_keys, hot_rows, is_small, materialise
 from rankloom.roles import Roles
 from rankloom.sources import tables
 
@@ -59,21 +59,25 @@ def clip_specs(roles: Roles) -> dict[str, tuple]:
 
 
 def base_features(
-    df: DataFrame, roles: Roles = Roles(), keys: Sequence[str] | None = None, hot="detect", more_ranks=None
+    df: DataFrame, roles: Roles = Roles(), keys: Sequence[str] | None = None, hot="detect"
 ) -> DataFrame:
     """Row features plus everything relative to the own query.
 
     One shuffle, on the query key. Only the price features are needed on its far side;
-    all other row features are computed after it, so they are never shuffled.
+    all other features are computed after it, so they are never shuffled.
     """
     keys = list(keys or [roles.query])
-    by = [k for k in keys if k != roles.query]
     if isinstance(hot, str):
         hot = hot_keys(df, keys)
-    priced = df.withColumns(features.price_features(roles))
-    related = features.add_query_features(priced, roles, keys, hot, more_ranks)
-    largest = features.largest_window(df, roles, by)
-    return features.count_window(features.add_row_features(related, roles), roles, by, largest)
+    seen = features.add_query_windows(df.withColumns(features.price_features(roles)), roles, keys, hot)
+    return _finish(seen, df, roles, [k for k in keys if k != roles.query])
+
+
+def _finish(df: DataFrame, rows: DataFrame, roles: Roles, by: Sequence[str], more_ranks=None) -> DataFrame:
+    """The projections that follow the windows."""
+    df = features.finish_query_features(df, roles, more_ranks)
+    largest = features.largest_window(rows, roles, by)
+    return features.count_window(features.add_row_features(df, roles), roles, by, largest)
 
 
 def feature_table(
@@ -84,8 +88,9 @@ def feature_table(
 ) -> DataFrame:
     """All features for labelled and test rows; column ``split`` is train, val or test.
 
-    Statistics are learnt from the raw rows and joined to the raw rows; the features
-    themselves are computed last, next to the one shuffle on the query key.
+    Statistics are learnt from the raw rows. The rows are shuffled once on the query key,
+    while they are narrow; statistics are joined after it (without a shuffle where they
+    are small), and the features themselves are computed last.
     """
     o = options
     if o.clip_outliers:
@@ -115,8 +120,25 @@ def feature_table(
     ]
     items = stats.item_profile(raw, roles, approximate_median=o.approximate_median, more=places)
     items = items.withColumn(f"{roles.item}_freq", F.col("_rows"))
-    df = attach(rows, items, [roles.item], "_rows", salt)
-    df = _pick(df, ["prop_avg_position", "prop_best_position", "prop_position_std", "prop_nonrandom_appearances"])
+    items = materialise(items)
+    by_split = ["prop_avg_position", "prop_best_position", "prop_position_std", "prop_nonrandom_appearances"]
+    # the windows need one item column; where items are small it goes ahead alone
+    ahead = by_split[:1] if is_small(items) else items.columns
+    early = [c for c in items.columns if c in ahead or c.removesuffix("__train") in ahead]
+    late = [c for c in items.columns if c not in early and c not in (roles.item, "_rows")]
+    head = items.select(*dict.fromkeys([roles.item, *early, "_rows"]))
+    df = attach(rows, head, [roles.item], "_rows", salt, settle=False)
+    df = _pick(df, [c for c in by_split if c in early])
+
+    # --- windows of the query
+    keys = [roles.query, "_test"]
+    ranks = {"prop_avg_position_pct_rank": "prop_avg_position"}
+    df = df.withColumns(features.price_features(roles))
+    df = features.add_query_windows(df, roles, keys, hot_keys(rows, keys), ranks)
+
+    if late:
+        df = attach(df, items.select(roles.item, *late, "_rows"), [roles.item], "_rows", salt, settle=False)
+        df = _pick(df, [c for c in by_split if c in late])
     others = [k for k in roles.frequency_keys if k not in (roles.item, roles.market) and k in rows.columns]
     df = stats.add_frequencies(df, rows, others, salt)
 
@@ -144,7 +166,7 @@ def feature_table(
     pair = [roles.market, roles.item]
     cells = materialise(_cells(rows, roles, prior if o.target_rates else None))
     medians = _position_medians(cells, rows)
-    df = attach(df, cells, [*pair, "_variant"], "_size", salt)
+    df = attach(df, cells, [*pair, "_variant"], "_size", salt, settle=False)
     df = df.join(F.broadcast(medians), "split", "left")  # one row per split
     unseen = F.coalesce(F.col("estimated_position"), F.col("_median"), F.lit(stats.UNSEEN_POSITION))
     filled = {"estimated_position": unseen}
@@ -153,11 +175,7 @@ def feature_table(
         filled |= {t.out: F.coalesce(F.col(t.out), F.lit(prior[t.label])) for t in every}
     df = df.withColumns(filled).drop("_median", "_variant", "checkin_month")
 
-    # --- everything relative to the query, and the row features
-    keys = [roles.query, "_test"]
-    df = base_features(
-        df, roles, keys, hot_keys(rows, keys), {"prop_avg_position_pct_rank": "prop_avg_position"}
-    )
+    df = _finish(df, rows, roles, ["_test"], ranks)
     return df.withColumns(features.price_against_item(roles)).drop("_test")
 
 
