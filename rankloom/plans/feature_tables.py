@@ -226,9 +226,9 @@ def _position_medians(cells: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def write_feature_tables(table: DataFrame, path: str) -> None:
+def write_feature_tables(table: DataFrame, path: str, roles: Roles = Roles()) -> None:
     """Parquet partitioned by split, so each split is a folder of its own, in one job."""
-    tables.write_parquet(table, path, partition_by=["split"], sort_within=["split", "srch_id"])
+    tables.write_parquet(table, path, partition_by=["split"], sort_within=["split", roles.query])
 
 
 def read_feature_table(spark, path: str, split: str) -> DataFrame:
