@@ -1,0 +1,90 @@
+import re
+from collections import defaultdict
+
+import pytest
+
+from rankloom.llm import pii
+
+KEY = "a test key"
+
+
+def test_whole_table(documents):
+    """No entity survives, nothing else changes, equal entities get equal and different ones different surrogates."""
+    before = {r["doc_id"]: r["text"] for r in documents.collect()}
+    after = {r["doc_id"]: r for r in pii.pseudonymise(documents, KEY, spans="found").collect()}
+    assert before.keys() == after.keys()
+    maps, real = defaultdict(set), set()
+    for i, text in before.items():
+        own = pii.entities(text)
+        spans = after[i]["found"]
+        assert len(own) == len(spans)
+        a, b = text, after[i]["text"]
+        assert re.sub("\0+", "\0", _blank(a, [(x[0], x[1]) for x in own])) == re.sub("\0+", "\0", _blank(b, [(s["start"], s["end"]) for s in spans]))
+        for (start, end, kind, norm), s in zip(own, spans):
+            assert s["kind"] == kind and b[s["start"] : s["end"]] == s["surrogate"] and text[start:end] not in b
+            maps[kind, norm].add(pii.normal(kind, s["surrogate"]))
+            real.add((kind, norm))
+    assert maps and all(len(v) == 1 for v in maps.values())
+    drawn = [(k[0], next(iter(v))) for k, v in maps.items()]
+    assert len(set(drawn)) == len(drawn) and not real & set(drawn)
+
+
+def _blank(text, spans):
+    out, at = [], 0
+    for s, e in spans:
+        out += [text[at:s], "\0"]
+        at = e
+    return "".join(out) + text[at:]
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("x.y+z@mail.example.org", "email"), ("+1 (017) 555-7713", "phone"), ("(212) 555-0100", "phone"), ("10.2.255.7", "ip"),
+        ("4111 1111 1111 1111", "card"), ("123-45-6789", "ssn"), ("DE89 3704 0044 0532 0130 00", "iban"), ("0f" * 20, "secret"),
+        ("Mrs. Jane Doe", "person"), ("Господин Иван Петров", "person"), ("Κυρία Μαρία Παπά", "person"),
+    ],
+)
+def test_kind_format_and_script(text, kind):
+    (start, end, found, norm), = pii.entities(f"so {text}, then")
+    assert found == kind and (start, end) == (3, 3 + len(text))
+    new = pii.dressed(kind, text, pii.surrogate(kind, norm, b"k"))
+    assert new != text and pii.script(new) == pii.script(text)
+    if kind != "person":
+        shape = lambda s: re.sub(r"\d", "9", re.sub(r"[a-z]", "x", re.sub(r"[A-Z]", "X", s)))
+        if kind not in ("ip", "secret"):
+            assert shape(new) == shape(text)
+        assert pii.entities(f"so {new}, then")[0][2] == kind
+    if kind == "card":
+        assert pii.luhn(re.sub(r"\D", "", new)) == 0
+
+
+def test_clean_text_stays():
+    for text in ("Version 1.2.3 of 2024-05-06 costs 1,000.50 or 12345678 units.", "a@b", "Les. Un. 5 + 6 = 11", "1.2.3.4.5 and 999.1.1.1"):
+        assert pii.replaced(text, b"k", {}) == (text, [])
+
+
+def test_collisions_draw_again(spark, monkeypatch):
+    """With almost no room every entity still ends up with a surrogate of its own."""
+    monkeypatch.setattr(pii, "surrogate", lambda kind, norm, key, draw=0: f"s{(sum(map(ord, norm)) + draw * 7) % 29}")
+    entity = spark.createDataFrame([("email", f"e{i}") for i in range(12)] + [("email", "s3")], "kind string, norm string")
+    again = {r["norm"]: r["draw"] for r in pii.draws(entity, b"k").collect()}
+    taken = [pii.surrogate("email", r["norm"], b"k", again.get(r["norm"], 0)) for r in entity.collect()]
+    assert len(set(taken)) == 13 and "s3" not in taken
+
+
+def test_exceptions_reach_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(pii, "draws", lambda entity, key: entity.withColumn("draw", pii.F.lit(3)))
+    docs = spark.createDataFrame([(1, "to a@b.org"), (None, "to a@b.org"), (3, None)], "doc_id bigint, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, KEY).collect()}
+    want = "to " + pii.surrogate("email", "a@b.org", KEY.encode(), 3)
+    assert out == {1: want, None: want, 3: None}
+
+
+def test_odd_rows(odd_docs, no_docs):
+    out = pii.pseudonymise(odd_docs, KEY)
+    assert out.schema == odd_docs.schema and out.count() == 14
+    same = {r["doc_id"]: r["text"] for r in odd_docs.collect()}
+    new = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert {i for i in same if same[i] != new[i]} == {1}
+    assert pii.pseudonymise(no_docs, KEY, spans="found").count() == 0
