@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import exact_dedup, minhash, packing, pii, toxicity
+from rankloom.llm import exact_dedup, line_dedup, minhash, packing, pii, sentencepiece, toxicity, url_rules, vptree, warc
+from rankloom.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,6 +52,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = sentencepiece.load_pieces(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    coded = stored(sentencepiece.encode(table(spark, sf_dir, "documents"), pieces), "coded-documents")
+    back = sentencepiece.decode(coded, pieces, keep_ids=True)
+    return back.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 @query(
     "op3_exact_dedup",
     """
@@ -65,11 +76,62 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query(
+    "op4_line_dedup",
+    """
+    WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+    w AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM l),
+    r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) > 1 AS again
+          FROM w WHERE next IS NOT NULL),
+    m AS (SELECT l.doc_id, l.pos, l.line,
+                 coalesce(a.again, false) OR coalesce(b.again, false) AS gone
+          FROM l LEFT JOIN r a ON a.doc_id = l.doc_id AND a.pos = l.pos
+                 LEFT JOIN r b ON b.doc_id = l.doc_id AND b.pos = l.pos - 1)
+    SELECT doc_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS text_sha256,
+           count(*) FILTER (WHERE gone) AS removed_lines
+    FROM m GROUP BY doc_id
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.without_repeats(table(spark, sf_dir, "documents"), removed="removed_lines")
+    return out.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "removed_lines")
+
+
+@query("op5_vantage_point_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 @query("op6_pii_surrogates")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, spans="entities")
 
 
+@query("op7_url_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op8_warc",
+    """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+    SELECT page_id, payload_bytes,
+           array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1) FOR i IN range(32)], '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM f
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(table(spark, sf_dir, "pages"))
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op9_toxicity")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     judge = toxic_judge(spark, sf_dir)
