@@ -90,7 +90,7 @@ def _listed(classes: DataFrame, kept: int, percent: int) -> DataFrame:
     total = shared.agg(F.sum("df")).first()[0] or 0
     found = attach(values, shared, "value", "df", total)
     # values of one class alone are the rarest, and there is nothing to meet in their lists
-    own = found.groupBy("rep", "n", "have").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("by_df"))
+    own = found.groupBy("rep", "n", "have").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by_df"))
     room = F.col("have") - need(F.col("n"), kept, percent) + 1 - (F.col("have") - F.size("by_df"))
     return (
         own.withColumn("room", room).filter("room > 0")
@@ -109,14 +109,12 @@ def _by_sketch(pairs: DataFrame, classes: DataFrame, kept: int, percent: int) ->
     for side in ("b", "a"):
         own = sketches.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
         pairs = pairs.join(own, side)
-    union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, kept)
-    last = F.when(F.greatest("n_a", "n_b") <= kept, F.lit(2**63 - 1)).otherwise(F.element_at("u", -1))
-    both = F.size(F.filter(F.array_intersect("s_a", "s_b"), lambda x: x <= F.col("last")))
-    return (
-        pairs.withColumn("u", union).withColumn("last", last)
-        .filter(both >= F.least(need(F.col("n_a"), kept, percent), need(F.col("n_b"), kept, percent)))
-        .select("a", "b")
-    )
+    union = F.array_union("s_a", "s_b")
+    least = F.when(F.greatest("n_a", "n_b") <= kept, union).otherwise(F.slice(F.sort_array(union), 1, kept))
+    # plain set operations: a lambda would work the union's sketch out again for every value
+    shared = F.array_intersect("s_a", "s_b")
+    asked = F.least(need(F.col("n_a"), kept, percent), need(F.col("n_b"), kept, percent))
+    return pairs.filter(F.size(shared) >= asked).filter(F.size(F.array_intersect(shared, least)) >= asked).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:

@@ -210,7 +210,7 @@ def sequences(packed: DataFrame) -> DataFrame:
     A group is one sequence, so at most ``capacity`` tokens.
     """
     joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("offset", F.hex("ids").alias("h")))), lambda x: x["h"]), ""
+        F.transform(F.sort_array(F.collect_list(F.struct("offset", F.hex("ids").alias("h")))), lambda x: x["h"]), ""
     )
     tokens = F.transform(
         F.sequence(F.lit(0), (F.length("h") / 8 - 1).cast("int")),

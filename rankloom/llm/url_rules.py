@@ -68,7 +68,7 @@ def mine(baskets: DataFrame, *, support: float = SUPPORT, confidence: float = CO
         model.associationRules.filter(F.element_at("consequent", 1).startswith("verdict:"))
         .filter(~F.exists("antecedent", lambda x: x.startswith("verdict:")))
         .select(
-            F.array_sort("antecedent").alias("antecedent"), F.expr("substring(consequent[0], 9)").alias("verdict"), "confidence", "support"
+            F.sort_array("antecedent").alias("antecedent"), F.expr("substring(consequent[0], 9)").alias("verdict"), "confidence", "support"
         ),
         "rules",
     )

@@ -195,7 +195,7 @@ def nearest(
     hits = pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score double")
     # at most k rows per query and shard
     top = hits.groupBy("query_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id", "score"))), 1, k).alias("best")
+        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id", "score"))), 1, k).alias("best")
     )
     return top.select("query_id", F.posexplode("best").alias("at", "x")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score")
