@@ -28,6 +28,8 @@ ARCHIVE_RECORDS = 50_000
 #: Fixed values of the format: magic numbers of frames, and an empty skippable frame.
 DICTIONARY_MAGIC = b"\x5d\x2a\x4d\x18"
 SEPARATOR = "\x50\x2a\x4d\x18\x00\x00\x00\x00"
+#: A skippable frame of one byte, put after a record's frame that ends as the separator begins.
+FILLER = b"\x51\x2a\x4d\x18\x01\x00\x00\x00\x00"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -94,6 +96,16 @@ def train(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:] or b"WARC/1.1\r\n"
 
 
+def framed(record: bytes, compressors: list) -> bytes:
+    """The record's frame by the first compressor whose output cannot be taken for a separator."""
+    mark = SEPARATOR.encode("latin-1")
+    for c in compressors:
+        frame = c.compress(record)
+        if mark not in frame:
+            return frame + FILLER if frame.endswith(mark[:1]) else frame
+    raise ValueError("every level writes the separator into the frame")
+
+
 def plan_records(pages: DataFrame, *, id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
     """(id, url, p, refers_to, revisit): every page with what it revisits.
 
@@ -144,9 +156,7 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes | None = N
             for own in zip(*(batch.column(c) for c in range(5))):
                 id, url, payload, refers_to, revisit = (x.as_py() for x in own)
                 raw = encode(id, url, payload, base32_sha1(payload), refers_to, revisit)
-                frame = next((f for f in (c.compress(raw) for c in levels) if mark not in f and not f.endswith(mark[:1])), None)
-                if frame is None:
-                    raise ValueError(f"record {id} cannot be framed")
+                frame = framed(raw, levels)
                 # a file takes the first per_archive rows, its dictionary among them
                 if count % per_archive == 0:
                     out.append(lead)

@@ -79,3 +79,15 @@ def test_many_files_each_with_the_dictionary(spark, odd_pages):
     warc.write_archives(warc.plan_records(odd_pages), folder, b"a small dictionary", per_archive=3)
     assert warc.read_archives(spark, folder).count() == 7
     assert warc.dictionaries(spark, folder) == [b"a small dictionary"]
+
+
+def test_frames_that_end_like_the_separator(spark):
+    """One frame in 256 ends with the separator's first byte; many small records meet it."""
+    import zstandard
+
+    plain = [zstandard.ZstdCompressor(level=3, write_checksum=True)]
+    frames = {i: warc.framed(b"%d" % i, plain) for i in range(3000)}
+    ended = [i for i, f in frames.items() if f.endswith(warc.FILLER)]
+    assert ended and all(zstandard.ZstdDecompressor().decompress(f) == b"%d" % i for i, f in frames.items())
+    pages = spark.range(3000).selectExpr("id AS page_id", "cast(null as string) AS url", "cast(id AS string) AS html")
+    assert {(r["id"], bytes(r["payload"])) for r in warc.archived(pages).collect()} == {(i, b"%d" % i) for i in range(3000)}
