@@ -49,6 +49,7 @@ def _compressor(dictionary: bytes):
     settings = zstandard.ZstdCompressionParameters.from_level(
         LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS
     )
+    data.precompute_compress(compression_params=settings)
     return zstandard.ZstdCompressor(compression_params=settings, dict_data=data)
 
 
@@ -72,13 +73,16 @@ class Judge:
     ordinary: bytes
     weights: list[float] = field(default_factory=list)
     _memo: dict = field(default_factory=dict, repr=False)
+    _pair: tuple = field(default=(), repr=False)  # the compressors: loading a dictionary costs as much as hundreds of windows
 
     def __getstate__(self):
-        return {"toxic": self.toxic, "ordinary": self.ordinary, "weights": self.weights, "_memo": {}}
+        return {"toxic": self.toxic, "ordinary": self.ordinary, "weights": self.weights, "_memo": {}, "_pair": ()}
 
     def gains(self, words: list[bytes]) -> np.ndarray:
         """Bytes that the toxic dictionary saves against the ordinary one, for each window."""
-        return _lengths(_compressor(self.ordinary), words) - _lengths(_compressor(self.toxic), words)
+        if not self._pair or self._pair[0] is not self.ordinary:
+            self._pair = (self.ordinary, _compressor(self.ordinary), _compressor(self.toxic))
+        return _lengths(self._pair[1], words) - _lengths(self._pair[2], words)
 
     def _learn(self, words: set[bytes]) -> None:
         new = sorted(words - self._memo.keys())
@@ -91,11 +95,14 @@ class Judge:
     def counts(self, texts: list[str]) -> np.ndarray:
         """For each text: its windows, and how many of them reach each gain of GAINS."""
         out = np.zeros((len(texts), 1 + len(GAINS)))
-        for k, text in enumerate(texts):
-            words = windows(text)
-            for at in range(0, len(words), MEMO // 2):  # also a text longer than the memo
-                own = words[at : at + MEMO // 2]
-                self._learn(set(own))
+        cut = [(k, words[at : at + MEMO // 2]) for k, words in enumerate(map(windows, texts)) for at in range(0, len(words), MEMO // 2)]
+        while cut:  # as many texts at once as the memo holds the windows of: compressing a few is dear
+            now, new = [], set()
+            while cut and (not now or len(new) < MEMO // 2):
+                now.append(cut.pop())
+                new.update(now[-1][1])
+            self._learn(new)
+            for k, own in now:
                 found = np.bincount(np.frombuffer(bytes(map(self._memo.__getitem__, own)), np.uint8), minlength=256)
                 out[k, 0] += len(own)
                 out[k, 1:] += [found[SHIFT + g :].sum() for g in GAINS]
