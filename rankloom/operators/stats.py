@@ -66,7 +66,9 @@ def item_profile(
     if hot is None:
         return df.groupBy(p).agg(*aggs, *[F.median(c).alias(o) for c, o in names.items()])
     moments = df.groupBy(p).agg(*aggs)
-    return moments.join(group_medians(df, [p], names, hot), p, "left")
+    medians = group_medians(df, [p], names, hot).withColumnRenamed(p, "_median_" + p)
+    joined = moments.join(medians, moments[p].eqNullSafe(medians["_median_" + p]), "left")
+    return joined.drop("_median_" + p)
 
 
 def position_aggs(roles: Roles = Roles(), keep: Column | None = None, suffix: str = "") -> list[Column]:

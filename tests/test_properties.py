@@ -158,3 +158,14 @@ def test_search_leaderboard_and_refit(spark, planted, tmp_path):
 def test_draws_are_reproducible_and_inside_the_space():
     a, b = draw_settings(5, seed=3), draw_settings(5, seed=3)
     assert a == b and all(20 <= s["num_leaves"] <= 80 and 0.005 <= s["learning_rate"] <= 0.12 for s in a)
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    from rankloom.sources import tables
+
+    (tmp_path / "one.csv").write_text("b,a\n1,x\n2,y\n")
+    (tmp_path / "two.csv").write_text("a,c,b\nz,q,3\n")
+    for options in ({"columns": ["a", "b"]}, {"schema": "a string, b string"}):
+        rows = tables.read_csv(spark, str(tmp_path), **options).collect()
+        assert sorted(map(tuple, rows)) == [("x", "1"), ("y", "2"), ("z", "3")]
+
