@@ -158,19 +158,19 @@ def o4(spark, sf):
 # --- pairs and lambdas ------------------------------------------------------------------------
 
 
-def _pair_parts(truncation: int, expr: str = SCORE_SQL, qid: str = "srch_id") -> dict[str, str]:
-    """Every pair of a query with different grades and one row within the truncation level."""
+def _pair_parts(truncation: int | None, expr: str = SCORE_SQL, qid: str = "srch_id") -> dict[str, str]:
+    """Every pair of a query with different grades and, if given, one row within the truncation level."""
     return {
         "s": f"select *, {qid} as qid, {REL_SQL} as relevance, cast({expr} as double) as score from imp",
         "ranked": f"select *, row_number() over (partition by qid order by score desc nulls last, {TIE_SQL}, srch_id) as rk, "
         "row_number() over (partition by qid order by relevance desc) as best from s",
-        "ideal": f"select qid, sum(relevance / log2(best + 1)) as idcg from ranked where best <= {truncation} group by qid",
+        "ideal": f"select qid, sum(relevance / log2(best + 1)) as idcg from ranked where best <= {truncation or 10} group by qid",
         "pr": f"""select w.qid, w.prop_id as prop_id_win, l.prop_id as prop_id_lose, w.relevance as rel_win, l.relevance as rel_lose,
             w.rk as rank_win, l.rk as rank_lose,
             (w.relevance - l.relevance) * abs(1 / log2(w.rk + 1) - 1 / log2(l.rk + 1)) / idcg as delta,
             1 / (1 + exp(w.score - l.score)) as rho
             from ranked w join ranked l on w.qid = l.qid and w.relevance > l.relevance
-            join ideal on ideal.qid = w.qid where least(w.rk, l.rk) <= {truncation}""",
+            join ideal on ideal.qid = w.qid{f' where least(w.rk, l.rk) <= {truncation}' if truncation else ''}""",
     }
 
 
@@ -178,16 +178,34 @@ def _pair_parts(truncation: int, expr: str = SCORE_SQL, qid: str = "srch_id") ->
     "e3_preference_pairs",
     with_impressions(
         f"""select qid as srch_id, prop_id_win, prop_id_lose, {r('rel_win')}, {r('rel_lose')}, rank_win, rank_lose, {r('delta')} from pr""",
-        **_pair_parts(10),
+        **_pair_parts(None),
     ),
 )
 def e3(spark, sf):
-    """Weighted pairs with one row within the first ten."""
+    """All pairs of different grades, weighted."""
     return pairs.preference_pairs(
         scored(spark, sf), "srch_id", "relevance", "score", [*TIES, "srch_id"], ["prop_id"], weighted=True
     )
 
 
+@register(
+    "e3_preference_pairs_hot_query",
+    with_impressions(
+        f"""select qid, prop_id_win, prop_id_lose, {r('rel_win')}, {r('rel_lose')}, rank_win, rank_lose, {r('delta')} from pr where rel_win = 5""",
+        **_pair_parts(None, qid="case when srch_id % 50 = 0 then 0 else srch_id end"),
+    ),
+)
+def e3_hot(spark, sf):
+    """Pairs won by bookings, one query holding a fiftieth of all others' rows."""
+    from rankloom.operators.skew import hot_keys
+
+    df = scored(spark, sf).withColumn("qid", F.expr("case when srch_id % 50 = 0 then 0 else srch_id end"))
+    out = pairs.preference_pairs(
+        df, "qid", "relevance", "score", [*TIES, "srch_id"], ["prop_id"], weighted=True, hot=hot_keys(df, ["qid"], limit=500)
+    )
+    return out.filter("rel_win = 5")
+
+
 @register(
     "e3_preference_pairs_truncated",
     with_impressions(

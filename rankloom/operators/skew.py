@@ -1,9 +1,9 @@
 """Keeping work spread when one key holds a large share of the rows.
 
 A "hot" key is one with more than ``hot_rows`` rows. At most N / hot_rows keys
-can be hot, so a table with one row per hot key is small by construction and may
-be broadcast; everything that has one row per *ordinary* key is left to Spark's
-own size check.
+can be hot. A table with one row per hot key stays on the executors and is broadcast
+when it has been counted and is small; everything that has one row per *ordinary* key is
+left to Spark's own size check.
 
 * ``hot_keys``   - which keys are hot (one column-pruned, map-side combined count)
 * ``grouped``    - run window-style work per key: ordinary keys by one hash
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from rankloom.functions.columns import same_keys
 
 DEFAULT_HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 50_000
 BROADCAST_VALUES = 4_000_000  # rows x columns, about 32 MB
 
 
@@ -55,23 +54,16 @@ def hot_keys(
 ) -> DataFrame | None:
     """One row per hot key with its row count ``_n``, or None when no key is hot.
 
-    ``counted`` names a column of counts when ``df`` already has one row per key. If more
-    than MAX_HOT_KEYS keys pass the limit, the limit is raised until they fit, so what
-    reaches the driver (and is broadcast later) has a fixed bound.
+    ``counted`` names a column of counts when ``df`` already has one row per key. Every key
+    over the limit is returned; the table is checkpointed, not collected.
     """
-    spark = df.sparkSession
-    limit = limit or hot_rows(spark)
+    limit = limit or hot_rows(df.sparkSession)
     if counted:
         counts = df.select(*keys, F.col(counted).cast("bigint").alias("_n"))
     else:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    while True:
-        found = counts.filter(F.col("_n") > limit).limit(MAX_HOT_KEYS + 1).collect()
-        if not found:
-            return None
-        if len(found) <= MAX_HOT_KEYS:
-            return spark.createDataFrame(found, counts.schema)
-        limit *= 4
+    found = counts.filter(F.col("_n") > limit)
+    return None if found.isEmpty() else materialise(found)
 
 
 def _renamed(hot: DataFrame, keys: Sequence[str], prefix: str = "_hot_") -> DataFrame:
@@ -79,8 +71,8 @@ def _renamed(hot: DataFrame, keys: Sequence[str], prefix: str = "_hot_") -> Data
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys). ``hot`` is bounded, see hot_keys."""
-    small = F.broadcast(_renamed(hot, keys))
+    """(rows of ordinary keys, rows of hot keys)."""
+    small = sent_if_small(_renamed(hot, keys))
     on = same_keys(df, small, keys, "_hot_")
     return df.join(small, on, "left_anti"), df.join(small, on, "left_semi")
 
@@ -98,9 +90,8 @@ class Groups:
             w = Window.partitionBy(*self.keys)
             return df.withColumns({n: a.over(w) for n, a in aggs.items()})
         stats = df.groupBy(*self.keys).agg(*[a.alias(n) for n, a in aggs.items()])
-        stats = stats.withColumnsRenamed({k: "_stat_" + k for k in self.keys})
-        # one row per hot key: at most MAX_HOT_KEYS rows
-        joined = df.join(F.broadcast(stats), same_keys(df, stats, self.keys, "_stat_"), "left")
+        stats = sent_if_small(materialise(stats.withColumnsRenamed({k: "_stat_" + k for k in self.keys})))
+        joined = df.join(stats, same_keys(df, stats, self.keys, "_stat_"), "left")
         return joined.drop(*["_stat_" + k for k in self.keys])
 
     def ordinal(self, df: DataFrame, **orders: Sequence[Column]) -> DataFrame:
@@ -144,6 +135,11 @@ def is_small(settled: DataFrame) -> bool:
     return settled.limit(most + 1).count() <= most
 
 
+def sent_if_small(settled: DataFrame) -> DataFrame:
+    """With a broadcast hint if it is small; else the join is Spark's choice, which splits skewed sides."""
+    return F.broadcast(settled) if is_small(settled) else settled
+
+
 def attach(
     rows: DataFrame,
     stats: DataFrame,
@@ -196,8 +192,7 @@ def _salted_join(
     how: str,
 ) -> DataFrame:
     pieces = (F.col("_n") / F.lit(limit)).cast("int") + F.lit(1)
-    # bounded: see hot_keys
-    hot = F.broadcast(hot.select(*[F.col(k).alias("_hot_" + k) for k in keys], pieces.alias("_pieces")))
+    hot = sent_if_small(hot.select(*[F.col(k).alias("_hot_" + k) for k in keys], pieces.alias("_pieces")))
     helpers = ["_pieces", *["_hot_" + k for k in keys]]
     columns = [F.col(f"`{c}`") for c in (salt_by or rows.columns)]
     salt = F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(
