@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import exact_dedup, line_dedup, minhash, packing, pii, sentencepiece, toxicity, url_rules, vptree, warc
-from rankloom.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,8 +56,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = sentencepiece.load_pieces(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    coded = stored(sentencepiece.encode(table(spark, sf_dir, "documents"), pieces), "coded-documents")
-    back = sentencepiece.decode(coded, pieces, keep_ids=True)
+    back = sentencepiece.decode(sentencepiece.encode(table(spark, sf_dir, "documents"), pieces), pieces, keep_ids=True)
     return back.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
