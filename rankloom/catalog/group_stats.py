@@ -449,7 +449,7 @@ def k2(spark, sf):
 )
 def k3(spark, sf):
     df = impressions(spark, sf).select(*KEYS)
-    bounds = splits.block_bounds(df, "srch_id", 5, large=True)
+    bounds = splits.block_bounds(df, "srch_id", 5)
     return splits.add_block(df, "srch_id", 5, bounds)
 
 

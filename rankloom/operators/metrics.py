@@ -14,6 +14,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.columns import same_keys
 from rankloom.operators.features import descending
 
 EMPTY = ("zero", "one", "skip")
@@ -93,7 +94,10 @@ def ndcg_per_query(
 ) -> DataFrame:
     """dcg, idcg and ndcg per query; ndcg is NULL when the query has no relevant item."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    got = dcg(df, keys, relevance, score, k, ties, tie_keys).join(ideal_dcg(df, keys, relevance, k), keys)
+    gained = dcg(df, keys, relevance, score, k, ties, tie_keys)
+    ideal = ideal_dcg(df, keys, relevance, k).withColumnsRenamed({c: "_ideal_" + c for c in keys})
+    # NULL-safe: rows without a query are one query, as in the sums
+    got = gained.join(ideal, same_keys(gained, ideal, keys, "_ideal_")).drop(*["_ideal_" + c for c in keys])
     return got.withColumn("ndcg", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")))
 
 

@@ -233,6 +233,47 @@ def test_blocks_do_not_cut_queries(spark):
     assert sorted(sizes) == [5, 5, 5, 5]
 
 
+def test_blocks_of_keys_beyond_double_precision(spark):
+    df = spark.range(8).select((F.lit(2**53).cast("bigint") + F.col("id")).alias("q"))
+    sizes = splits.add_block(df, "q", 4).groupBy("block").count().orderBy("block").collect()
+    assert [r["count"] for r in sizes] == [2, 2, 2, 2]
+    assert splits.block_bounds(df.limit(0), "q", 4) == [] == splits.block_bounds(df, "q", 1)
+
+
+def test_ndcg_keeps_rows_without_a_query(spark):
+    df = spark.createDataFrame([(None, 1.0, 0.5), (None, 0.0, 0.1), (1, 0.0, 0.9), (1, 5.0, 0.1)], "q int, rel double, s double")
+    got = {r["q"]: r["ndcg"] for r in metrics.ndcg_per_query(df, "q", "rel", "s").collect()}
+    assert set(got) == {None, 1} and got[None] == 1.0 and got[1] == pytest.approx(1 / math.log2(3))
+
+
+def all_pairs(rows):
+    """Pairs (query, winner, loser) of different grades, by trying all."""
+    return sorted(
+        ((q, a, b) for q, a, g in rows for p, b, h in rows if p == q and g > h), key=str
+    )
+
+
+def test_pairs_are_not_cut(spark):
+    """Also where both rows are far down, in hot queries, and for rows without a query."""
+    from rankloom.operators import pairs
+
+    made = [(q, i, float(i % 7 == 6) + 4.0 * (i == n - 1)) for q, n in ((1, 15), (2, 40), (3, 60), (None, 9)) for i in range(n)]
+    df = spark.createDataFrame([(q, i, g, -float(i)) for q, i, g in made], "q int, i int, rel double, s double")
+    hot = hot_keys(df, ["q"], 8)
+    assert {r["q"] for r in hot.collect()} == {1, 2, 3, None}
+    spark.conf.set("spark.rankloom.hotRows", "8")
+    try:
+        for h in (None, hot):
+            out = pairs.preference_pairs(df, "q", "rel", "s", ["i"], ["i"], weighted=True, hot=h)
+            assert sorted(((r["q"], r["i_win"], r["i_lose"]) for r in out.collect()), key=str) == all_pairs(made)
+    finally:
+        spark.conf.unset("spark.rankloom.hotRows")
+    few = pairs.preference_pairs(df, "q", "rel", "s", ["i"], ["i"], truncation=10)
+    assert sorted(((r["q"], r["i_win"], r["i_lose"]) for r in few.collect()), key=str) == [
+        p for p in all_pairs(made) if min(p[1:]) < 10
+    ]
+
+
 # --- hot keys -------------------------------------------------------------------------------
 
 
@@ -251,6 +292,12 @@ def test_hot_keys_are_found(spark):
     assert hot_keys(skewed(spark), ["k"], 1000) is None
 
 
+def test_every_hot_key_is_split(spark):
+    """However many there are, and when their table is too large to be sent."""
+    df = spark.range(1000).withColumn("k", F.col("id") % 4)
+    assert {(r["k"], r["_n"]) for r in hot_keys(df, ["k"], 100).collect()} == {(k, 250) for k in range(4)}
+
+
 def test_hot_and_ordinary_paths_agree(spark):
     df = skewed(spark)
 
