@@ -32,7 +32,8 @@ END = 0
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: In texts of these characters Python's classes and the tokenizer's are the same.
 PLAIN = r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ſ]*"
-MEMO = 300_000
+#: Words a worker remembers, at most (about 200 MB); further ones are encoded each time they come.
+MEMO = 1_000_000
 
 PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -40,8 +41,8 @@ PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes.
 
-    Words (the tokenizer's own pre-tokens) are encoded by the ``tokenizers`` library once and
-    remembered, at most MEMO of them; texts with characters outside PLAIN go to it whole.
+    Words (the tokenizer's own pre-tokens) are encoded by the ``tokenizers`` library; the first MEMO of
+    them are remembered, as frequent words come early. Texts with characters outside PLAIN go to it whole.
     """
 
     def __init__(self, spec: str):
@@ -62,12 +63,13 @@ class Encoder:
             return self._encode([text])[0]
         words = self.words.findall(text)
         new = [w for w in set(words) if w not in self.memo]
-        if new:
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = list(set(words))
-            self.memo.update(zip(new, self._encode(new)))
-        return b"".join(map(self.memo.__getitem__, words))
+        if not new:
+            return b"".join(map(self.memo.__getitem__, words))
+        coded = dict(zip(new, self._encode(new)))
+        if len(self.memo) + len(new) <= MEMO:
+            self.memo.update(coded)
+            return b"".join(map(self.memo.__getitem__, words))
+        return b"".join([coded[w] if w in coded else self.memo[w] for w in words])
 
 
 _ENCODERS: dict[int, Encoder] = {}  # one per Python worker and tokenizer
