@@ -1,10 +1,11 @@
 """Nearest neighbours by vantage-point trees, one per shard of the vectors.
 
-Inner products are searched as distances: every vector of length at most M gets one more component
-that brings it to length M, queries get a zero, and the largest inner product is then the smallest
-distance. A node keeps a vantage point and, for either half of its vectors, the range of their
+Inner products are searched as distances: every vector of a shard gets one more component that brings
+it to the length M of the shard's longest, queries get a zero, and the largest inner product is then the
+smallest distance. A node keeps a vantage point and, for either half of its vectors, the range of their
 distances to it. A half is skipped when ``factor`` times the gap between the query's distance and that
-range reaches the distance of its k-th best vector so far: factor 1 is exact, larger ones skip more.
+range reaches the distance of its k-th best vector so far: factor 1 is exact. Larger ones skip more, and
+are no bound at all where lengths differ: all distances are then about M, however well a vector fits.
 
 Equal vectors of a shard stand in its tree once, with their smallest k + 1 ids; more cannot be among k
 results. Trees are searched by blocks of queries with matrix products; the scores returned are sums in
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import stored
 
 K = 20
-#: Chosen so that random directions in 64 dimensions, the hardest case, keep a recall above 0.9.
-FACTOR = 3.0
+#: The only factor that misses nothing whatever the lengths of the vectors are.
+FACTOR = 1.0
+#: Share of the lengths that rounding can take from or add to a distance.
+ROUNDING = 1e-6
 SHARD, LEAF, BLOCK = 16_384, 512, 1024
 
 
@@ -43,6 +46,7 @@ class Tree:
         self.points, self.order, self.nodes = points, np.arange(len(points)), []
         self.rng = np.random.default_rng(seed)
         self.leaf = leaf
+        self.longest = np.sqrt((points**2).sum(1).max(initial=0))
         self._build(0, len(points))
 
     def _build(self, lo: int, hi: int) -> int:
@@ -68,6 +72,7 @@ class Tree:
         best = np.full((n, k), np.inf)
         found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
         norms = (queries**2).sum(1)
+        slack = ROUNDING * (np.sqrt(norms) + self.longest)
 
         def leaf(node: int, active: np.ndarray) -> None:
             lo, hi, _ = self.nodes[node]
@@ -78,7 +83,7 @@ class Tree:
             merged = np.concatenate([best[active], d], 1)
             kth = min(k, merged.shape[1]) - 1
             best[active] = np.partition(merged, kth, 1)[:, :k]
-            limit = best[active].max(1) * (1 + 1e-7) + 1e-7
+            limit = best[active].max(1) + slack[active]
             for i, q in enumerate(active):
                 near = d[i] <= limit[i]
                 if near.any():
@@ -99,7 +104,7 @@ class Tree:
                 for side in turn:
                     child, lo, hi = sides[side]
                     gap = np.maximum(0, np.maximum(at[mine] - hi, lo - at[mine]))
-                    go = factor * gap <= best[active[mine]].max(1) + 1e-7
+                    go = factor * gap <= best[active[mine]].max(1) + slack[active[mine]]
                     if go.any():
                         walk(child, active[mine][go])
 
@@ -109,7 +114,7 @@ class Tree:
         for q in range(n):
             rows = np.concatenate([r for r, _ in found[q]]) if found[q] else np.empty(0, np.int64)
             d = np.concatenate([x for _, x in found[q]]) if found[q] else np.empty(0)
-            out.append(rows[d <= best[q].max() * (1 + 1e-7) + 1e-7])
+            out.append(rows[d <= best[q].max() + slack[q]])
         return out
 
 
@@ -137,8 +142,7 @@ def nearest(
     own = vectors.filter(usable(vector) & F.col(f"`{id}`").isNotNull()).select(
         F.col(f"`{id}`").cast("bigint").alias("id"), F.transform(F.col(f"`{vector}`"), lambda x: x.cast("double")).alias("v")
     )
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    count, longest = own.agg(F.count(F.lit(1)), F.max(length)).first()
+    count = own.count()
     if not count:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     shards = -(-count // shard)
@@ -172,7 +176,7 @@ def nearest(
             for row in range(batch.num_rows):
                 one = {n: batch.column(c)[row].as_py() for c, n in enumerate(batch.schema.names)}
                 if one["shard"] != built:
-                    ids, starts, points, lifted = _prepared(one, longest, k)
+                    ids, starts, points, lifted = _prepared(one)
                     tree, built = Tree(lifted, LEAF), one["shard"]
                 q_ids = np.frombuffer(one["q_ids"], "<i8")
                 q = np.frombuffer(one["q_data"], "<f8").reshape(len(q_ids), -1)
@@ -202,7 +206,7 @@ def nearest(
     )
 
 
-def _prepared(one: dict, longest: float, k: int):
+def _prepared(one: dict):
     """Ids grouped by equal vector (ascending), where each group starts, the distinct vectors, and these lifted."""
     ids = np.frombuffer(one["ids"], "<i8")
     data = np.frombuffer(one["data"], "<f8").reshape(len(ids), -1) + 0.0
@@ -210,5 +214,6 @@ def _prepared(one: dict, longest: float, k: int):
     group = group.reshape(-1)
     order = np.lexsort((ids, group))
     starts = np.concatenate([np.searchsorted(group[order], np.arange(len(points))), [len(ids)]])
-    rest = np.sqrt(np.maximum(0, longest**2 - (points**2).sum(1)))
+    squares = (points**2).sum(1)
+    rest = np.sqrt(squares.max() - squares)
     return ids[order], starts, points, np.hstack([points, rest[:, None]])

@@ -73,3 +73,28 @@ def test_odd_vectors(spark):
     assert vptree.nearest(vectors, vectors.limit(0), k=4).count() == 0
     two = make(spark, [(1, [1.0, 0.0], 1.0, 2, "x"), (2, [0.0, 1.0], 1.0, 2, "x")])
     assert {q: [i for _, i in v] for q, v in found(vptree.nearest(two, two)).items()} == {1: [2], 2: [1]}
+
+
+def lengths_of(shape, rng, n):
+    if shape == "one doubled":
+        return np.where(np.arange(n) == 17, 2.0, 1.0)
+    return np.exp(rng.normal(size=n) * 0.5) if shape == "lognormal" else np.where(np.arange(n) == 17, 20.0, 1.0)
+
+
+@pytest.mark.parametrize("shape", ["one doubled", "lognormal", "clustered, one of 20"])
+def test_nothing_is_missed_where_lengths_differ(spark, shape):
+    rng = np.random.default_rng(5)
+    n = 10_000
+    x = rng.normal(size=(n, 16))
+    if shape.startswith("clustered"):
+        x = 4 * rng.normal(size=(40, 16))[np.arange(n) % 40] + x
+    x = x / np.linalg.norm(x, axis=1)[:, None] * lengths_of(shape, rng, n)[:, None]
+    x = x.astype(np.float32).astype(float)
+    vectors = make(spark, [(i, v, 0.0, 0, "x") for i, v in enumerate(x.tolist())])
+    got = found(vptree.nearest(vectors, vectors.filter("vec_id % 100 = 0"), shard=3300))
+    want = {}
+    for q in range(0, n, 100):
+        score = -(x @ x[q])
+        score[q] = np.inf
+        want[q] = [(score[i], int(i)) for i in np.lexsort((np.arange(n), score))[:20]]
+    same(got, want)
