@@ -67,8 +67,8 @@ KINDS = [  # the first that matches at a place decides
 ]
 _KINDS = [k for k, _ in KINDS]
 _FIND = re.compile("|".join(f"(?P<{k}>{p.replace(chr(92) + '1', f'(?P=gap)').replace('([ -]?)', '(?P<gap>[ -]?)')})" for k, p in KINDS))
-#: No entity without one of these: texts that have none are not searched.
-_HINT = re.compile(r"[@\d]|" + "|".join(map(re.escape, _TITLE)))
+#: No entity without one of these: texts that have none are not searched. Secrets may be of letters only.
+_HINT = re.compile(r"[@\d]|AKIA|[a-fA-F]{32}|(?:token|secret|password|api_key) = \"|" + "|".join(map(re.escape, _TITLE)))
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
