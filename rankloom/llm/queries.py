@@ -96,6 +96,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "removed_lines")
 
 
+@query("op4_line_dedup_passages")
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages by their length in words, be they one line or many; ``op4_line_dedup`` is the rule of its SQL."""
+    out = line_dedup.without_repeats(table(spark, sf_dir, "documents"), words=line_dedup.WORDS, removed="removed_lines")
+    return out.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "removed_lines")
+
+
 @query("op5_vantage_point_neighbours")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
