@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key counts as hot when it holds at least one in so many of all rows; so at most so many
@@ -69,3 +70,37 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int
         rows.join(F.broadcast(hot), key)
         .unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
     )
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], **sums: Column) -> DataFrame:
+    """``df`` with running totals (own row included) of ``sums`` in every group, in ``order``.
+
+    A group may hold any share of the rows: rows are cut into ranges by (keys, order) and written
+    with the number of their range, totals run inside a range, and a group that goes on in a later
+    range gets what the earlier ones hold. At most two groups a range do, so that table has no more
+    than twice as many rows as there are ranges and is broadcast. Keys must not be null. Rows that ``order``
+    does not tell apart share a range and come in any order.
+    """
+    keys = list(keys)
+    part = free_name(df.columns, "_range")
+    cut = stored(
+        df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(part, F.spark_partition_id()), "ranges"
+    )
+    local = Window.partitionBy(part, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.withColumns({n: F.sum(c).over(local) for n, c in sums.items()})
+    held = stored(cut.groupBy(*keys, part).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), "range-sums")
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = held.withColumn("_ranges", F.count(F.lit(1)).over(whole)).filter("_ranges > 1").select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col(part).alias("_of_range"),
+        *[F.sum(n).over(earlier).alias(f"_before_{n}") for n in sums],
+    )
+    on = (out[part] == F.col("_of_range")) & _all(out[k] == F.col(f"_of_{k}") for k in keys)
+    found = out.join(F.broadcast(before), on, "left")
+    return found.withColumns({n: F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0)) for n in sums}).select(
+        *df.columns, *sums
+    )
+
+
+def _all(conditions) -> Column:
+    return reduce(lambda a, b: a & b, conditions)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import exact_dedup, line_dedup, minhash, packing, pii, sentencepiece, toxicity, url_rules, vptree, warc
+from rankloom.llm import (
+    conversation_trie, exact_dedup, line_dedup, minhash, packing, phrases, pii, sentencepiece, toxicity, url_rules, vptree, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -148,3 +150,69 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
+
+
+@query(
+    "op12_phrases",
+    """
+    WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM t),
+    s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+    d AS (SELECT lang, d AS words, w[i:i + d - 1] AS v FROM s, range(1, 4) r(d) WHERE i + d - 1 <= len(w)),
+    f AS (SELECT lang, words, v, count(*) AS f FROM d GROUP BY ALL),
+    n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
+    c AS (SELECT * FROM f WHERE words > 1 AND f >= 10),
+    k AS (SELECT c.lang, c.v, c.f AS a, k, l.f AS l, r.f AS r,
+                 ((1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f))::BIGINT AS score
+          FROM c, range(1, 3) x(k)
+          JOIN f l ON l.lang = c.lang AND l.v = c.v[1:k] JOIN f r ON r.lang = c.lang AND r.v = c.v[k + 1:c.words]
+          WHERE k < c.words),
+    b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, v ORDER BY score, k) = 1),
+    i AS (SELECT lang, unnest([v[1:2], v[2:3]]) AS v, f FROM c WHERE words = 3),
+    m AS (SELECT lang, v, max(f) AS longer FROM i GROUP BY ALL),
+    o AS (SELECT b.*, array_to_string(b.v, ' ') AS phrase FROM b LEFT JOIN m ON m.lang = b.lang AND m.v = b.v
+          WHERE m.longer IS NULL OR 100 * m.longer < 50 * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM o JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least_words=2, words=3, least=10, percent=50, top=2000)
+
+
+@query(
+    "op13_conversation_trie",
+    """
+    WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS pos
+               FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base,
+                 xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(
+                     [[ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(conv_id::VARCHAR, '')])),
+                     lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 9 AS h
+          FROM o GROUP BY conv_id),
+    m AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS taken,
+                 least(c.h, coalesce(b.n, 0)) + greatest(c.n - c.h, 0) AS length
+          FROM c LEFT JOIN c b ON b.conv_id = c.base),
+    r AS (SELECT m.conv_id, o.pos AS depth, role, text FROM m JOIN o ON o.conv_id = m.base AND o.pos <= m.h
+          UNION ALL SELECT m.conv_id, o.pos - m.h + m.taken, role, text FROM m JOIN o ON o.conv_id = m.conv_id AND o.pos > m.h),
+    p AS (SELECT conv_id, depth, octet_length(encode(text)) AS bytes,
+                 list(sha256(role) || sha256(text)) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r
+          UNION ALL SELECT conv_id, 0, 0, []::VARCHAR[] FROM m),
+    v AS (SELECT path, depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+                 sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (WHERE depth = length), '')) AS ends_sha256
+          FROM p JOIN m ON m.conv_id = p.conv_id GROUP BY path, depth),
+    k AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY ALL),
+    w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k ON k.path = v.path AND k.depth = v.depth),
+    s AS (SELECT p.path, p.depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * w.bytes)::BIGINT AS saved_tokens
+          FROM w JOIN p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY ALL)
+    SELECT w.conv_id, w.depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256
+    FROM w JOIN s ON s.path = w.path AND s.depth = w.depth
+    LEFT JOIN w u ON w.depth > 0 AND u.depth = w.depth - 1 AND u.path = w.path[1:w.depth - 1]
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    members, rebuilt = conversation_trie.shared_starts(turns, family=5, heads=9)
+    return conversation_trie.prefix_trie(members, rebuilt).drop("enters_at")
