@@ -157,22 +157,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH t AS (SELECT coalesce(lang, 'und') AS lang,
                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
-    p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM t),
-    s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
-    d AS (SELECT lang, d AS words, w[i:i + d - 1] AS v FROM s, range(1, 4) r(d) WHERE i + d - 1 <= len(w)),
-    f AS (SELECT lang, words, v, count(*) AS f FROM d GROUP BY ALL),
+    p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
+    w AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+    s AS (SELECT id, lang, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM w),
+    g AS (SELECT lang, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM s WINDOW o AS (PARTITION BY id ORDER BY i)),
+    d AS (SELECT lang, unnest([1, 2, 3]) AS words, unnest([w, w || ' ' || w2, w || ' ' || w2 || ' ' || w3]) AS v FROM g),
+    f AS (SELECT lang, words, v, count(*) AS f FROM d WHERE v IS NOT NULL GROUP BY ALL),
     n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
-    c AS (SELECT * FROM f WHERE words > 1 AND f >= 10),
-    k AS (SELECT c.lang, c.v, c.f AS a, k, l.f AS l, r.f AS r,
-                 ((1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f))::BIGINT AS score
-          FROM c, range(1, 3) x(k)
-          JOIN f l ON l.lang = c.lang AND l.v = c.v[1:k] JOIN f r ON r.lang = c.lang AND r.v = c.v[k + 1:c.words]
-          WHERE k < c.words),
+    c AS (SELECT lang, words, v, f AS a, string_split(v, ' ') AS w FROM f WHERE words > 1 AND f >= 10),
+    x AS (SELECT lang, v, a, 1 AS k, w[1] AS p, substr(v, length(w[1]) + 2) AS q FROM c
+          UNION ALL SELECT lang, v, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE words = 3),
+    k AS (SELECT x.lang, x.v, a, k, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+          FROM x JOIN f l ON l.lang || chr(9) || l.v = x.lang || chr(9) || x.p
+               JOIN f r ON r.lang || chr(9) || r.v = x.lang || chr(9) || x.q),
     b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, v ORDER BY score, k) = 1),
-    i AS (SELECT lang, unnest([v[1:2], v[2:3]]) AS v, f FROM c WHERE words = 3),
-    m AS (SELECT lang, v, max(f) AS longer FROM i GROUP BY ALL),
-    o AS (SELECT b.*, array_to_string(b.v, ' ') AS phrase FROM b LEFT JOIN m ON m.lang = b.lang AND m.v = b.v
-          WHERE m.longer IS NULL OR 100 * m.longer < 50 * a)
+    i AS (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS v, a FROM c WHERE words = 3),
+    m AS (SELECT lang, v, max(a) AS longer FROM i GROUP BY ALL),
+    o AS (SELECT b.*, b.v AS phrase FROM b LEFT JOIN m ON m.lang = b.lang AND m.v = b.v WHERE m.longer IS NULL OR 100 * m.longer < 50 * a)
     SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
     FROM o JOIN n USING (lang) QUALIFY rank <= 2000
     """,
