@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import (
-    conversation_trie, exact_dedup, line_dedup, minhash, packing, phrases, pii, sentencepiece, toxicity, url_rules, vptree, warc,
+    conversation_trie, exact_dedup, line_dedup, minhash, packing, phrases, pii, sentencepiece, substring_dedup, toxicity, url_rules,
+    vptree, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +153,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
 
 
+@query(
+    "op11_substring_dedup",
+    """
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+    v AS (SELECT *, count(*) OVER r AS n, md5(string_agg(word, ' ') OVER r) AS h FROM w
+          WINDOW r AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+    s AS (SELECT *, n = 20 AND row_number() OVER (PARTITION BY h, n = 20 ORDER BY doc_id, i) > 1 AS again FROM v),
+    c AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM s),
+    g AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+    SELECT d.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), window=20).drop("removed")
+
+
 @query(
     "op12_phrases",
     """

@@ -35,9 +35,9 @@ def _segments(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def word_hashes(raw: np.ndarray) -> np.ndarray:
+def word_hashes(raw: np.ndarray, lower: bool = True) -> np.ndarray:
     """Hashes of the words of one text given as bytes, in order."""
-    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
+    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8) if lower else raw
     starts, ends = _segments((low == 32) | ((low >= 9) & (low <= 13)))
     out = np.empty(len(starts), np.uint64)
     at = 0
