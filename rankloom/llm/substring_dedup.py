@@ -31,7 +31,7 @@ from rankloom.operators.skew import sent_if_small
 WINDOW = 20
 ANCHOR = 6  # words whose hash is an anchor
 HOT = 4096  # pieces of one anchor above which they are cut into windows
-SHARD = 1_000_000  # words of one index
+SHARD = 1_000_000  # words of one index at most, on average; every core has one at least
 EMPTY = hashlib.sha256(b"").hexdigest()
 _U = np.uint64
 
@@ -169,7 +169,7 @@ def earlier_windows(table: pa.Table, window: int) -> pa.Table:
 def _searched(classes: DataFrame, id_type: T.DataType, window: int, shard: int) -> DataFrame:
     """(doc_id, part, from, to): covered words of the first occurrences of all classes."""
     words = classes.agg(F.sum(F.col("size") + window - 1)).first()[0] or 0
-    shards = -(-words // shard) or 1
+    shards = max(-(-words // shard), int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("part", T.LongType()), T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
 
     def run(table: pa.Table) -> pa.Table:
