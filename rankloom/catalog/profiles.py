@@ -9,11 +9,6 @@ from rankloom.catalog.registry import register
 from rankloom.catalog.tables import nearest
 from rankloom.operators import profile
 
-NUMERIC = (
-    "price_usd", "prop_starrating", "prop_review_score", "prop_location_score1", "prop_location_score2",
-    "srch_booking_window", "srch_length_of_stay", "orig_destination_distance", "visitor_hist_starrating",
-    "visitor_hist_adr_usd", "comp1_rate", "comp2_rate_percent_diff",
-)
 ALL_COLUMNS = (
     "srch_id", "prop_id", "srch_destination_id", "visitor_location_country_id", "prop_country_id", "date_time",
     "position", "random_bool", "price_usd", "prop_starrating", "prop_review_score", "prop_location_score1",
@@ -23,6 +18,7 @@ ALL_COLUMNS = (
     "comp1_inv", "comp2_inv", "comp1_rate_percent_diff", "comp2_rate_percent_diff", "click_bool", "booking_bool",
     "split", "tiebreak_ts",
 )
+NUMERIC = tuple(c for c in ALL_COLUMNS if c not in ("date_time", "split", "tiebreak_ts"))
 
 
 @register("p1_overview", with_impressions(f"select count(*) as rows, cast({len(ALL_COLUMNS)} as int) as columns from imp"))
@@ -93,7 +89,18 @@ def p5(spark, sf):
     return profile.boolean_summary(impressions(spark, sf), _FLAGS)
 
 
-@register("p6_describe")
+def _describe_sql() -> str:
+    parts = []
+    for c in NUMERIC:
+        quant = ", ".join(r(f"quantile_cont({c}, {p})", n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)))
+        parts.append(
+            f"select '{c}' as variable, count({c}) as count, {r(f'avg({c})', 'mean')}, {r(f'stddev_samp({c})', 'std')}, "
+            f"{r(f'min({c})', 'min')}, {quant}, {r(f'max({c})', 'max')} from imp"
+        )
+    return with_impressions(" union all ".join(parts))
+
+
+@register("p6_describe", _describe_sql())
 def p6(spark, sf):
     return profile.describe(impressions(spark, sf), NUMERIC)
 

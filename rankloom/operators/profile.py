@@ -75,8 +75,6 @@ def numeric_summary(
             F.max(x).alias(f"{c}__max"),
         ]
     fields = ["missing_count", "missing_fraction", "mean", "std", "min", "max"]
-    if large is None:
-        large = df.count() > hot_rows(df.sparkSession)
     # the median of an even number of values lies between two of them, hence its own rule
     probs = [*SUMMARY_PROBS.values(), (0.5, "linear")]
     spread = quantiles(df, columns, probs, method, large)
@@ -115,8 +113,18 @@ def boolean_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Spark's own summary: count, mean, stddev, min, approximate quartiles, max."""
-    return (df.select(*columns) if columns else df).summary()
+    """One row per numeric column: count, mean, std, min, exact quartiles (linear) and max."""
+    columns = list(columns or numeric_columns(df))
+    x = {c: F.col(c).cast("double") for c in columns}
+    aggs = [
+        a.alias(f"{c}__{n}")
+        for c in columns
+        for n, a in (("count", F.count(x[c])), ("mean", F.avg(x[c])), ("std", F.stddev_samp(x[c])), ("min", F.min(x[c])), ("max", F.max(x[c])))
+    ]
+    spread = quantiles(df, columns, [0.25, 0.5, 0.75], "linear")
+    both = _tall(df.agg(*aggs), columns, ["count", "mean", "std", "min", "max"]).join(F.broadcast(spread), "variable", "left")  # one row per column
+    quartiles = [F.element_at("quantiles", i + 1).alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
+    return both.select("variable", "count", "mean", "std", "min", *quartiles, "max").orderBy("variable")
 
 
 def quantile_report(
