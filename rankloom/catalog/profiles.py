@@ -301,41 +301,54 @@ def p17_item(spark, sf):
     return profile.shift_histogram(df.filter("split = 'train'"), df.filter("split = 'test'"), "prop_id", 100)
 
 
-SPEARMAN = ("price_usd", "prop_starrating", "prop_review_score", "prop_location_score2", "orig_destination_distance", "booking_bool")
-
-
-def _spearman_parts() -> str:
-    parts = []
-    for i, a in enumerate(SPEARMAN):
-        for b in SPEARMAN[i + 1 :]:
-            rank = "rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0e0"
-            parts.append(
-                f"select '{a}' as f1, '{b}' as f2, corr(ra, rb) as c from (select {rank.format(c=a)} as ra, "
-                f"{rank.format(c=b)} as rb from imp where {a} is not null and {b} is not null)"
-            )
-    return " union all ".join(parts)
+_NULLABLE = (
+    "prop_review_score", "prop_location_score2", "visitor_hist_starrating", "visitor_hist_adr_usd", "srch_query_affinity_score",
+    "orig_destination_distance", "comp1_rate", "comp2_rate", "comp1_inv", "comp2_inv", "comp1_rate_percent_diff", "comp2_rate_percent_diff",
+)
 
 
-@register("p18_spearman", with_impressions(f"select f1, f2, {r('c', 'corr')} from p", p=_spearman_parts()))
+def _spearman_ctes() -> dict[str, str]:
+    """One part for each set of rows with the ranks in it, then ``p`` with all pairs."""
+    full = [c for c in NUMERIC if c not in _NULLABLE]
+    wanted = [([], full, [(a, b) for i, a in enumerate(full) for b in full[i + 1 :]])]
+    wanted += [([a], [*full, a], [(a, c) for c in full]) for a in _NULLABLE]
+    wanted += [([a, b], [a, b], [(a, b)]) for i, a in enumerate(_NULLABLE) for b in _NULLABLE[i + 1 :]]
+    parts, picks = {}, []
+    for k, (present, columns, pairs) in enumerate(wanted):
+        ranks = ", ".join(
+            f"rank() over (order by {c}) + (count(*) over (order by {c} range between current row and current row) - 1) / 2.0e0 as {c}" for c in columns
+        )
+        where = " and ".join(f"{c} is not null" for c in present) or "true"
+        parts[f"s{k}"] = f"select {ranks} from imp where {where}"
+        named = [sorted(pair, key=NUMERIC.index) for pair in pairs]
+        found = ", ".join(f"struct_pack(f1 := '{a}', f2 := '{b}', c := corr({a}, {b}))" for a, b in named)
+        picks.append(f"select unnest([{found}], recursive := true) from s{k}")
+    # NaN where a column has no spread
+    parts["q"] = " union all ".join(picks)
+    parts["p"] = "select f1, f2, case when isnan(c) then null else c end as c from q"
+    return parts
+
+
+@register("p18_spearman", with_impressions(f"select f1, f2, {r('c', 'corr')} from p", **_spearman_ctes()))
 def p18(spark, sf):
     """Pairwise-complete rank correlations."""
-    return profile.spearman(impressions(spark, sf), SPEARMAN)
+    return profile.spearman(impressions(spark, sf), NUMERIC)
 
 
-@register("p18_spearman_range_sorted", with_impressions(f"select f1, f2, {r('c', 'corr')} from p", p=_spearman_parts()))
+@register("p18_spearman_range_sorted", with_impressions(f"select f1, f2, {r('c', 'corr')} from p", **_spearman_ctes()))
 def p18_large(spark, sf):
-    """The same by the plan for tables too large for one window per pair."""
-    return profile.spearman(impressions(spark, sf), SPEARMAN, large=True)
+    """The same with the ranks of all columns but those of few values joined instead of sent."""
+    return profile.spearman(impressions(spark, sf), NUMERIC, sent=2000)
 
 
 @register(
     "p19_strongest_pairs",
     with_impressions(
-        f"select f1, f2, {r('c', 'corr')} from p order by abs(c) desc, f1, f2 limit 5", p=_spearman_parts()
+        f"select f1, f2, {r('c', 'corr')} from p order by abs(coalesce(c, 0)) desc, f1, f2 limit 30", **_spearman_ctes()
     ),
 )
 def p19(spark, sf):
-    return profile.strongest_pairs(profile.spearman(impressions(spark, sf), SPEARMAN), 5)
+    return profile.strongest_pairs(profile.spearman(impressions(spark, sf), NUMERIC), 30)
 
 
 @register(

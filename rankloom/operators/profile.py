@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators.clean import numeric_columns
 from rankloom.operators.features import add_ordinal_ranks
 from rankloom.operators.quantile import quantiles
-from rankloom.operators.skew import attach, hot_rows, prefix_sum
+from rankloom.operators.skew import BROADCAST_VALUES, attach, materialise, running_totals
 
 # Probabilities of the numeric summary and of the quantile report.
 SUMMARY_PROBS = {"q001": 0.001, "q01": 0.01, "q25": 0.25, "q75": 0.75, "q99": 0.99, "q999": 0.999}
@@ -231,52 +234,120 @@ def booking_rate_by_rank(
 # --- correlation -------------------------------------------------------------------------
 
 
-def spearman(df: DataFrame, columns: Sequence[str], large: bool | None = None) -> DataFrame:
+def _null_classes(df: DataFrame, names: Sequence[str]) -> list[list[int]]:
+    """Columns by the rows in which they are null: the first class is of those that never are."""
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names]).first()
+    some = [k for k, c in enumerate(names) if nulls[c]]
+    alike = [(i, j) for i in some for j in some if i < j and nulls[names[i]] == nulls[names[j]]]
+    odd = [F.count_if(F.col(names[i]).isNull() != F.col(names[j]).isNull()).alias(f"{i}_{j}") for i, j in alike]
+    differ = df.agg(*odd).first() if odd else {}
+    classes = [[k for k in range(len(names)) if k not in some]]
+    for k in some:
+        home = next((c for c in classes[1:] if (c[0], k) in alike and differ[f"{c[0]}_{k}"] == 0), None)
+        if home:
+            home.append(k)
+        else:
+            classes.append([k])
+    return classes
+
+
+def _value_counts(df: DataFrame, width: int, leads: list[int]) -> DataFrame:
+    """(c, value, n0, n1, ...): rows of a value, in all and where column ``leads[b - 1]`` is present."""
+    slots = len(leads) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            present = [np.ones(batch.num_rows, bool), *(batch.column(k).is_valid().to_numpy(zero_copy_only=False) for k in leads)]
+            parts = []
+            for c in range(width):
+                own = batch.column(c)
+                here = own.is_valid().to_numpy(zero_copy_only=False)
+                values, back = np.unique(own.drop_null().to_numpy(zero_copy_only=False) + 0.0, return_inverse=True)
+                counts = [np.bincount(back, p[here], len(values)).astype(np.int64) for p in present]
+                parts.append((np.full(len(values), c, np.int32), values, *counts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["c", "value", *(f"n{b}" for b in range(slots))])
+
+    schema = "c int, value double, " + ", ".join(f"n{b} long" for b in range(slots))
+    return df.mapInArrow(run, schema).groupBy("c", "value").agg(*[F.sum(f"n{b}").alias(f"n{b}") for b in range(slots)])
+
+
+def spearman(df: DataFrame, columns: Sequence[str], sent: int = BROADCAST_VALUES) -> DataFrame:
     """Rank correlation of every pair of columns: f1, f2, corr with f1 < f2 in list order.
 
-    Each pair uses the rows where both are present, ties get their average rank, and a
-    pair without spread has NULL. All pairs go through the same two steps: rows are
-    counted per (pair, x, y); ranks come from a running total of the counts per
-    (pair, value), and are joined back to the counts. Nothing is held per pair.
+    Each pair uses the rows where both are present, ties get their average rank, and a pair without
+    spread has NULL. A column is sorted once: running totals of its value counts give its ranks
+    among all rows and among the rows where any other class of nulls is present (columns that are null
+    in the same rows are one class). Ranks of columns with few values, ``sent`` numbers together, are
+    looked up in every task, those of the others are joined; then each task adds up the products of all
+    its ranks, and these sums merge. Work is rows x columns x classes.
     """
-    columns = list(columns)
-    if large is None:
-        large = df.count() > hot_rows(df.sparkSession)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    x = [F.col(c).cast("double") for c in columns]
-    cells = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.when(
-                        x[i].isNotNull() & x[j].isNotNull(),
-                        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x[i].alias("x"), x[j].alias("y")),
-                    )
-                    for i, j in pairs
-                ]
-            )
-        ).alias("_c")
-    ).filter(F.col("_c").isNotNull())
-    counts = cells.groupBy("_c.i", "_c.j", "_c.x", "_c.y").agg(F.count(F.lit(1)).alias("w"))
-
-    def ranks(side: str, out: str) -> DataFrame:
-        values = counts.groupBy("i", "j", side).agg(F.sum("w").alias("_w"), F.count(F.lit(1)).alias("_cells"))
-        run = prefix_sum(values, ["i", "j"], [F.col(side).asc()], F.col("_w"), "_b", "_n", few_large_groups=large)
-        average = F.col("_b") + (F.col("_w") + F.lit(1)) / F.lit(2.0)
-        # centred on the mean rank, which is the same for both sides
-        return run.select("i", "j", side, "_cells", (average - (F.col("_n") + F.lit(1)) / F.lit(2.0)).alias(out))
-
-    ranked = attach(counts, ranks("x", "rx"), ["i", "j", "x"], "_cells", ["y"], "inner")
-    ranked = attach(ranked, ranks("y", "ry"), ["i", "j", "y"], "_cells", ["x"], "inner")
-    w = F.col("w")
-    corr = F.try_divide(
-        F.sum(w * F.col("rx") * F.col("ry")),
-        F.sqrt(F.sum(w * F.col("rx") * F.col("rx")) * F.sum(w * F.col("ry") * F.col("ry"))),
-    )
-    names = F.array(*[F.lit(c) for c in columns])
-    return ranked.groupBy("i", "j").agg(corr.alias("corr")).select(
-        F.get(names, F.col("i")).alias("f1"), F.get(names, F.col("j")).alias("f2"), "corr"
-    )
+    columns, spark = list(columns), df.sparkSession
+    names = [f"c{k}" for k in range(len(columns))]
+    df = materialise(df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names)]))
+    classes = _null_classes(df, names)
+    slots, leads = len(classes), [c[0] for c in classes[1:]]
+    class_of = {k: b for b, c in enumerate(classes) for k in c}
+    counts = materialise(_value_counts(df, len(names), leads))
+    sums = {r["c"]: r for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("d"), *[F.sum(f"n{b}").alias(f"n{b}") for b in range(slots)]).collect()}
+    ranked = running_totals(counts, ["c"], [F.col("value").asc()], **{f"u{b}": F.col(f"n{b}") for b in range(slots)})
+    totals = [F.create_map(*[F.lit(x) for k in sums for x in (k, sums[k][f"n{b}"])]) if sums else F.create_map() for b in range(slots)]
+    rank = lambda b: (2 * F.col(f"u{b}") - F.col(f"n{b}") - F.element_at(totals[b], F.col("c"))) / 2.0
+    ranked = materialise(ranked.select("c", "value", "n0", F.array(*[rank(b) for b in range(slots)]).alias("ranks")))
+    few, size = [], 0
+    for k in sorted(sums, key=lambda k: sums[k]["d"]):
+        size += sums[k]["d"] * (slots + 1)
+        if size <= sent:
+            few.append(k)
+    tables = {}
+    for k, own in ranked.filter(F.col("c").isin(few)).select("c", "value", "ranks").toPandas().groupby("c") if few else ():
+        own = own.sort_values("value")
+        tables[int(k)] = (own["value"].to_numpy(), np.stack(own["ranks"].to_numpy()))
+    joined = [k for k in sums if k not in tables]
+    for k in joined:
+        own = ranked.filter(F.col("c") == k).select(F.col("value").alias(names[k]), F.col("n0").alias("_n"), F.col("ranks").alias(f"r{k}"))
+        df = attach(df, own, [names[k]], "_n", settle=False)
+    df = df.select(*names, *[f"r{k}" for k in joined])
+    known = spark.sparkContext.broadcast(tables)  # no more than ``sent`` numbers
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            n, ranks, present = batch.num_rows, {}, {}
+            for k in range(len(names)):
+                own = batch.column(k)
+                here = own.is_valid().to_numpy(zero_copy_only=False)
+                present[k] = here
+                x = np.zeros((n, slots))
+                if k in known.value:
+                    values, r = known.value[k]
+                    x[here] = r[np.searchsorted(values, own.drop_null().to_numpy(zero_copy_only=False) + 0.0)]
+                elif k in joined and here.any():
+                    x[here] = batch.column(len(names) + joined.index(k)).filter(pa.array(here)).flatten().to_numpy(zero_copy_only=False).reshape(-1, slots)
+                ranks[k] = x
+            for a in range(slots):
+                for b in range(a, slots):
+                    left, right = classes[a], classes[b] if b != a else []
+                    if not (left + right):
+                        continue
+                    inside = (present[leads[a - 1]] if a else 1) * (present[leads[b - 1]] if b else 1)
+                    m = np.stack([ranks[k][:, b] for k in left] + [ranks[k][:, a if a else b] for k in right], axis=1)
+                    m = m * np.broadcast_to(np.asarray(inside, float).reshape(-1, 1), m.shape)
+                    held[a, b] = held.get((a, b), 0) + m.T @ m
+        rows = [(a, b, i, j, m[i, j]) for (a, b), m in held.items() for i in range(len(m)) for j in range(i, len(m))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["a", "b", "i", "j", "v"])
+
+    moments = df.mapInArrow(products, "a long, b long, i long, j long, v double").groupBy("a", "b", "i", "j").agg(F.sum("v").alias("v"))
+    found = {(r["a"], r["b"], r["i"], r["j"]): r["v"] for r in moments.collect()}  # columns x columns x classes numbers
+    out = []
+    for i in range(len(columns)):
+        for j in range(i + 1, len(columns)):
+            a, b = sorted((class_of[i], class_of[j]))
+            order = classes[a] + (classes[b] if b != a else [])
+            x, y = sorted((order.index(i), order.index(j)))
+            xx, yy, xy = (found.get((a, b, *at), 0.0) for at in ((x, x), (y, y), (x, y)))
+            out.append((columns[i], columns[j], xy / math.sqrt(xx * yy) if xx > 0 and yy > 0 else None))
+    return spark.createDataFrame(out, "f1 string, f2 string, corr double")
 
 
 def usable_pairs(corr: DataFrame) -> DataFrame:

@@ -281,3 +281,24 @@ def prefix_sum(
     if few_large_groups:
         return _prefix_by_range(df, keys, order, weight, before, total)
     return by_window(df)
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], **sums: Column) -> DataFrame:
+    """``df`` with totals of ``sums`` up to and with each row of its group, in one range sort.
+
+    Groups may be of any size and number: only those that go on from one range into the next get an
+    offset, and these are at most two a range, so the offsets are broadcast. Keys are not null.
+    """
+    keys = list(keys)
+    cut = materialise(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()))
+    local = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    held = materialise(cut.groupBy(*keys, "_part").agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        held.withColumn("_ranges", F.count(F.lit(1)).over(group)).filter("_ranges > 1")
+        .select(*[F.col(k).alias(f"_off_{k}") for k in keys], F.col("_part").alias("_off__part"), *[F.sum(n).over(earlier).alias(f"_before_{n}") for n in sums])
+    )
+    out = cut.withColumns({n: F.sum(c).over(local) for n, c in sums.items()})
+    out = out.join(F.broadcast(offsets), same_keys(out, offsets, [*keys, "_part"], "_off_"), "left")
+    return out.withColumns({n: F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0)) for n in sums}).select(*df.columns, *sums)
