@@ -5,10 +5,11 @@
 2. Retained values are inverted. Two sets as similar as asked share at least ``need`` of their
    retained values, so they meet in the list of one of the (kept - need + 1) rarest of either; only
    these are listed, and values that one class alone has are never listed.
-3. In every list the members are first compared with the smallest one, which is linear however long
-   the list is. Links found join components; then members of a list that are still in different
-   components are compared with each other. So every pair of a list is either compared or
-   already connected.
+3. In every list the members are first compared with its most typical one, whose retained values are
+   in most sets: of a group of near copies that is the text they were made from, or close to it. This is
+   linear however long the list is. Links found join components; then members outside a list's
+   main component are listed once more by their full sets and there compared with the members of
+   other components. So every pair of a list is compared, already connected or known to differ.
 4. Candidates are filtered by the overlap of their sketches within the sketch of the union, and
    the exact Jaccard of the full sets decides.
 
@@ -37,6 +38,7 @@ WORDS = 5
 PERCENT = 80
 KEPT = 128
 SIGMAS = 6
+ALL = 1 << 40  # retained values, where a set is listed whole
 HUB = 500  # pairs of one document that may share one copy of its full set
 
 
@@ -84,18 +86,24 @@ def _sets(docs: DataFrame, words: int, full: bool, kept: int = KEPT) -> DataFram
 
 
 def _listed(classes: DataFrame, kept: int, percent: int) -> DataFrame:
-    """(value, rep, n): every class under its rarest retained values, as many as have to be listed."""
+    """(value, df, rep, n, typical, place, before): every class under its rarest retained values, as many as
+    have to be listed; ``typical`` sums up the frequencies of all its values, ``place`` counts those that are rarer, ``before`` are the listed ones of them."""
     values = classes.select("rep", "n", F.size("sketch").alias("have"), F.explode("sketch").alias("value"))
     shared = stored(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared-values")
     total = shared.agg(F.sum("df")).first()[0] or 0
     found = attach(values, shared, "value", "df", total)
     # values of one class alone are the rarest, and there is nothing to meet in their lists
-    own = found.groupBy("rep", "n", "have").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by_df"))
+    own = found.groupBy("rep", "n", "have").agg(
+        F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by_df"), F.sum("df").alias("typical")
+    )
     room = F.col("have") - need(F.col("n"), kept, percent) + 1 - (F.col("have") - F.size("by_df"))
     return (
-        own.withColumn("room", room).filter("room > 0")
-        .select("rep", "n", F.explode(F.slice("by_df", 1, F.col("room"))).alias("x"))
-        .select(F.col("x.value").alias("value"), F.col("x.df").alias("df"), "rep", "n")
+        own.withColumn("room", room).filter("room > 0").withColumn("top", F.slice("by_df", 1, F.col("room")))
+        .select("rep", "n", "typical", "top", (F.col("have") - F.size("by_df")).alias("alone"), F.posexplode("top").alias("nth", "x"))
+        .select(
+            F.col("x.value").alias("value"), F.col("x.df").alias("df"), "rep", "n", "typical", (F.col("alone") + F.col("nth")).alias("place"),
+            F.expr("slice(transform(top, y -> y.value), 1, nth)").alias("before"),
+        )
     )
 
 
@@ -105,10 +113,11 @@ def _near_size(percent: int) -> Column:
 
 def _by_sketch(pairs: DataFrame, classes: DataFrame, kept: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose sketches agree within the sketch of their union as similar sets' do."""
-    sketches = classes.select("rep", "n", "sketch")
-    for side in ("b", "a"):
-        own = sketches.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
-        pairs = pairs.join(own, side)
+    total = pairs.count()
+    for side in ("b", "a"):  # a hub is in any share of the pairs
+        own = classes.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+        asked = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_asked"))
+        pairs = attach(pairs, stored(own.join(asked, side), "asked-sketches"), side, "_asked", total).drop("_asked")
     union = F.array_union("s_a", "s_b")
     least = F.when(F.greatest("n_a", "n_b") <= kept, union).otherwise(F.slice(F.sort_array(union), 1, kept))
     # plain set operations: a lambda would work the union's sketch out again for every value
@@ -140,48 +149,64 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 def _links(classes: DataFrame, docs: DataFrame, words: int, percent: int, kept: int) -> DataFrame:
     """Links (a, b) between classes whose components are those of all links."""
     listed = stored(_listed(classes, kept, percent), "listed-values")
-    lists = stored(
-        listed.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n")).alias("first")).filter("members > 1"),
-        "lists",
-    )
+    center = F.min(F.struct((-F.col("typical")).alias("t"), "rep", "n")).alias("center")
+    lists = stored(listed.groupBy("value").agg(F.count(F.lit(1)).alias("members"), center).filter("members > 1"), "lists")
     total = lists.agg(F.sum("members")).first()[0] or 0
-    stars = attach(listed.drop("df"), lists, "value", "members", total)
+    stars = attach(listed.select("value", "rep", "n"), lists, "value", "members", total)
     first = (
-        stars.select(F.col("first.rep").alias("a"), F.col("first.n").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
-        .filter(F.col("a") < F.col("b")).filter(_near_size(percent)).select("a", "b").distinct()
+        stars.select(F.col("center.rep").alias("a"), F.col("center.n").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
+        .filter(F.col("a") != F.col("b")).filter(_near_size(percent)).select("a", "b").distinct()
     )
-    first = stored(_verified(stored(_by_sketch(first, classes, kept, percent), "star-pairs"), docs, words, percent), "star-links")
+    first = stored(_by_sketch(stored(first, "first-pairs"), classes, kept, percent), "star-pairs")
+    first = stored(_verified(first, docs, words, percent), "star-links")
 
     # what is left: members of one list in different components
     member = components(first)
     placed = stored(
         listed.join(member, F.col("rep") == F.col("node"), "left")
-        .select("value", "rep", "n", F.coalesce("component", "rep").alias("component")), "placed-members",
+        .select("value", "rep", F.coalesce("component", "rep").alias("component")), "placed-members",
+    )
+    split = placed.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
+    split = stored(split.filter("low < high").select("value", "members"), "split-lists")
+    unsure = attach(placed, split, "value", "members", split.agg(F.sum("members")).first()[0] or 0).select(F.col("rep").alias("doc_id"))
+    rest = _across(stored(unsure.distinct(), "unsure"), member, docs, words, percent)
+    if rest.isEmpty():
+        return first
+    return first.union(_verified(rest, docs, words, percent))
+
+
+def _across(ids: DataFrame, member: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``ids`` in different components that may be similar, by their full sets.
+
+    The same inverted lists as of the sketches, but of whole sets, whose share of common values
+    is no estimate: only as many of the rarest are listed as similar sets may differ in, and what a near
+    copy has alone is the rarest. Members of a list that are outside its main component are paired
+    with the others, in the first list they share.
+    """
+    sets = stored(_sets(docs.join(ids, "doc_id", "left_semi"), words, True), "unsure-sets")
+    whole = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("sketch"))
+    listed = stored(_listed(whole, ALL, percent), "full-listed")
+    placed = listed.join(member, F.col("rep") == F.col("node"), "left").select(
+        "value", "rep", "n", "place", "before", F.coalesce("component", "rep").alias("component")
     )
+    placed = stored(placed, "full-placed")
     sizes = placed.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("value").agg(
         F.count(F.lit(1)).alias("parts"), F.sum("c").alias("members"), F.max(F.struct("c", "component")).alias("m")
     ).filter("parts > 1").select("value", "members", F.col("m.component").alias("main"))
-    main = stored(main, "split-lists")
-    open_lists = stored(attach(placed, main, "value", "members", main.agg(F.sum("members")).first()[0] or 0), "open-lists")
-    others = open_lists.filter("component != main").select(
-        "value", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x")
+    main = stored(main, "full-split-lists")
+    lists = stored(attach(placed, main, "value", "members", main.agg(F.sum("members")).first()[0] or 0), "full-open-lists")
+    x, y = (lists.select("value", "main", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "component", "place", "before")]) for k in "xy")
+    met = (
+        (F.col("component_x") != F.col("component_y"))
+        & ((F.col("component_y") == F.col("main")) | (F.col("rep_x") < F.col("rep_y")))
+        & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
+        # all they share lies from here on, and similar sets share at least this much
+        & (F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent)
+        & ~F.arrays_overlap("before_x", "before_y")
     )
-    rest = (
-        open_lists.select("value", F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
-        .join(others, "value")
-        .filter("c_x != c_y")
-        .select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-            F.when(F.col("x") < F.col("y"), F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"),
-            F.when(F.col("x") < F.col("y"), F.col("n_y")).otherwise(F.col("n_x")).alias("n_b"),
-        )
-        .filter(_near_size(percent)).select("a", "b").distinct()
-    )
-    rest = stored(_by_sketch(rest, classes, kept, percent), "rest-pairs")
-    if rest.isEmpty():
-        return first
-    return first.union(_verified(rest, docs, words, percent))
+    pairs = y.join(x.filter("component_x != main").drop("main"), "value").filter(met)
+    return stored(pairs.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct(), "rest-pairs")
 
 
 def near_duplicates(

@@ -93,3 +93,42 @@ def test_components(spark):
         links[y] = x
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
     assert got == {x: root(x) for x in links if any(x in p and p[0] != p[1] for p in pairs)}
+
+
+def test_group_whose_copies_differ_and_a_chain(spark):
+    """Copies of one text, most of them too far from each other, and a chain of small steps."""
+    import random
+
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(160)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 5, 7])):
+            words[rng.randrange(160)] = f"x{rng.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(words)))
+    rows.append((5000, " ".join(base)))  # the one in the middle has the largest id
+    chain = [f"c{i}" for i in range(120)]
+    for i in range(60):
+        chain[2 * i] = f"y{i}"
+        rows.append((2000 + (i * 37) % 60, " ".join(chain)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, percent=85).collect()}
+    sets = {i: frozenset(zip(*[t.split()[k:] for k in range(5)])) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert out == {i: root(i) for i in ids}
+    assert len(set(out.values())) > 3 and sum(v == out[2000] for v in out.values()) == 60
