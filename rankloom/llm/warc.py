@@ -140,8 +140,12 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes | None = N
 
     spark = records.sparkSession
     if dictionary is None:
-        chosen = records.filter("NOT revisit").select("id", "url", F.substring("p", 1, SAMPLE_BYTES).alias("p"), F.xxhash64("id").alias("h"))
-        chosen = chosen.orderBy("h", "id").limit(TRAINED_ON).collect()  # at most TRAINED_ON x SAMPLE_BYTES bytes
+        # ids first, so that no task sends more than TRAINED_ON of them, then the payloads of these alone
+        own = records.filter("NOT revisit")
+        ids = stored(own.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(TRAINED_ON).toDF("_chosen"), "training-ids")
+        chosen = own.select("id", "url", F.substring("p", 1, SAMPLE_BYTES).alias("p"))
+        chosen = chosen.join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("_chosen")), "left_semi").dropDuplicates(["id"])
+        chosen = sorted(chosen.collect(), key=lambda r: str(r["id"]))  # at most TRAINED_ON x SAMPLE_BYTES bytes
         dictionary = train([encode(r["id"], r["url"], bytes(r["p"]), base32_sha1(bytes(r["p"])), None, False) for r in chosen])
     sent = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
     mark = SEPARATOR.encode("latin-1")
