@@ -28,8 +28,10 @@ WORDS = 50
 
 
 def _windows(docs: DataFrame, id: str, text: str, run: int) -> DataFrame:
-    """(doc_id, at, places, fingerprint, digest) of every window of ``run`` lines; ``places`` are its lines, ``at`` the first."""
-    lines = docs.filter(F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").alias("doc_id"), F.split(text_of(text), "\n").alias("lines"))
+    """(doc_id, own, at, places, fingerprint, digest) of every window of ``run`` lines; ``places`` are its lines, ``at`` the first."""
+    lines = docs.filter(F.col(f"`{id}`").isNotNull()).select(
+        F.col(f"`{id}`").alias("doc_id"), F.xxhash64(text_of(text)).alias("own"), F.split(text_of(text), "\n").alias("lines")
+    )
     hashed = lines.withColumn("h", F.transform("lines", lambda x: F.xxhash64(x))).filter(F.size("lines") >= run)
     at = F.sequence(F.lit(0), F.size("lines") - F.lit(run))
     windows = F.transform(
@@ -42,11 +44,11 @@ def _windows(docs: DataFrame, id: str, text: str, run: int) -> DataFrame:
             F.unhex(F.sha2(F.array_join(F.slice("lines", i + 1, F.lit(run)), "\n"), 256)).alias("digest"),
         ),
     )
-    return hashed.select("doc_id", F.inline(windows))
+    return hashed.select("doc_id", "own", F.inline(windows))
 
 
 def _windows_of_words(docs: DataFrame, id: str, text: str, words: int) -> DataFrame:
-    """(doc_id, at, places, fingerprint, digest) of every least window of ``words`` words, from each line and up to each line."""
+    """(doc_id, own, at, places, fingerprint, digest) of every least window of ``words`` words, from each line and up to each line."""
     texts = docs.filter(F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").alias("doc_id"), text_of(text).alias("t")).distinct()
     lines = texts.select("doc_id", F.xxhash64("t").alias("own"), F.posexplode(F.split("t", "\n")).alias("at", "line"))
     lines = lines.withColumn("n", F.size(F.regexp_extract_all("line", F.lit(r"\S+"), 0)).cast("bigint")).filter("n > 0")
@@ -57,11 +59,11 @@ def _windows_of_words(docs: DataFrame, id: str, text: str, words: int) -> DataFr
 
     def windows(frame) -> DataFrame:
         found = lines.select(
-            "doc_id", F.min("at").over(frame).alias("at"), F.collect_list("at").over(frame).alias("places"), F.sum("n").over(frame).alias("held"),
+            "doc_id", "own", F.min("at").over(frame).alias("at"), F.collect_list("at").over(frame).alias("places"), F.sum("n").over(frame).alias("held"),
             F.min("h").over(frame).alias("fingerprint"), F.collect_list("line").over(frame).alias("lines"),
         ).filter(F.col("held") >= words)
         # joined by a character that no line holds
-        return found.select("doc_id", "at", "places", "fingerprint", F.unhex(F.sha2(F.array_join("lines", "\n"), 256)).alias("digest"))
+        return found.select("doc_id", "own", "at", "places", "fingerprint", F.unhex(F.sha2(F.array_join("lines", "\n"), 256)).alias("digest"))
 
     return windows(whole.orderBy("before").rangeBetween(Window.currentRow, words - 1)).union(
         windows(whole.orderBy("upto").rangeBetween(1 - words, Window.currentRow))
@@ -69,10 +71,11 @@ def _windows_of_words(docs: DataFrame, id: str, text: str, words: int) -> DataFr
 
 
 def repeated_runs(docs: DataFrame, *, id: str = "doc_id", text: str = "text", run: int = RUN, words: int | None = None) -> DataFrame:
-    """(doc_id, at, places, first_doc, first_at): every window of ``run`` lines, or of ``words`` words, that an earlier place holds too.
+    """(doc_id, own, at, places, first_doc, first_at): every window of ``run`` lines, or of ``words`` words, that an earlier place holds too.
 
     The earlier place is the first in the corpus by id and line (0-based). Rows that repeat an id and its
-    text are one document; rows without an id take no part.
+    text are one document; with another text (``own`` is the text's hash) they are another one, ordered by
+    that hash. Rows without an id take no part.
     """
     windows = _windows(docs, id, text, run) if words is None else _windows_of_words(docs, id, text, words)
     windows = stored(windows.distinct(), "line-windows")
@@ -82,13 +85,13 @@ def repeated_runs(docs: DataFrame, *, id: str = "doc_id", text: str = "text", ru
     total = prints.agg(F.sum("n")).first()[0] or 0
     matched = stored(attach(windows, prints, "fingerprint", "n", total).drop("n"), "matched-windows")
     first = stored(
-        matched.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"),
+        matched.groupBy("digest").agg(F.min(F.struct("doc_id", "own", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"),
         "first-windows",
     )
     total = first.agg(F.sum("n")).first()[0] or 0
     return attach(matched, first, "digest", "n", total).filter(
-        F.struct("doc_id", "at") != F.col("first")
-    ).select("doc_id", "at", "places", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))
+        F.struct("doc_id", "own", "at") != F.col("first")
+    ).select("doc_id", "own", "at", "places", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))
 
 
 def without_repeats(
@@ -96,15 +99,16 @@ def without_repeats(
 ) -> DataFrame:
     """``docs`` with the lines of later repeated runs deleted from ``text``; no other column changes.
 
-    ``removed`` names a column to add: how many lines went. A text whose lines all go becomes empty; null
+    ``removed`` names a column to add: how many lines went; underscores go before a name that is taken. A text whose lines all go becomes empty; null
     stays null. Texts of fewer than ``run`` lines, or ``words`` words where given, stay. No rows give no rows.
     """
     found = repeated_runs(docs, id=id, text=text, run=run, words=words)
-    gone, key = free_name(docs.columns, "_gone"), free_name(docs.columns, "_key")
+    gone, key, of = (free_name(docs.columns, n) for n in ("_gone", "_key", "_of"))
     # at most one entry per line of a document
     lines = F.array_distinct(F.flatten(F.collect_list("places")))
-    by_doc = stored(found.groupBy("doc_id").agg(lines.alias(gone)).withColumnRenamed("doc_id", key), "lines-to-delete")
-    joined = docs.join(by_doc, docs[id] == by_doc[key], "left")
+    by_doc = found.groupBy(F.col("doc_id").alias(key), F.col("own").alias(of)).agg(lines.alias(gone))
+    by_doc = stored(by_doc, "lines-to-delete")
+    joined = docs.join(by_doc, (docs[id] == by_doc[key]) & (F.xxhash64(text_of(text)) == by_doc[of]), "left")
     column = F.col(f"`{text}`")
     kept = F.array_join(F.transform(
         F.filter(
@@ -113,7 +117,7 @@ def without_repeats(
         lambda s: s["x"],
     ), "\n")
     out = [F.when(F.col(gone).isNull(), column).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    extra = [F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias(removed)] if removed else []
+    extra = [F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias(free_name(docs.columns, removed))] if removed else []
     return joined.select(*out, *extra)
 
 

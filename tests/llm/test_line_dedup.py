@@ -81,3 +81,13 @@ def test_passages_of_the_whole_table(documents):
     rows = [(r["doc_id"], r["text"]) for r in documents.filter("length(text) < 4000").collect()]
     out = line_dedup.without_repeats(documents.filter("length(text) < 4000"), words=line_dedup.WORDS, removed="removed")
     assert found(out) == brute_words(rows, line_dedup.WORDS)
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    rows = [(0, "x\ny", 7), (1, "x\ny", 7), (1, "p\nq", 7), (1, "p\nq", 7), (2, "p\nq\nr", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, removed_lines int")
+    out = line_dedup.without_repeats(docs, removed="removed_lines")
+    assert out.columns == ["doc_id", "text", "removed_lines", "_removed_lines"]
+    assert sorted((r["doc_id"], r["text"], r["_removed_lines"]) for r in out.collect()) == [
+        (0, "x\ny", 0), (1, "", 2), (1, "p\nq", 0), (1, "p\nq", 0), (2, "r", 2)
+    ]
