@@ -42,14 +42,15 @@ class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes.
 
     Words (the tokenizer's own pre-tokens) are encoded by the ``tokenizers`` library; the first MEMO of
-    them are remembered, as frequent words come early. Texts with characters outside PLAIN go to it whole.
+    them are remembered, as frequent words come early. Texts with characters outside PLAIN or with one of the
+    tokenizer's own tokens go to it whole.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = re.compile(PATTERN)
         self.plain = re.compile(PLAIN)
         self.memo: dict[str, bytes] = {}
@@ -59,7 +60,7 @@ class Encoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
     def ids(self, text: str) -> bytes:
-        if not self.plain.fullmatch(text):
+        if not self.plain.fullmatch(text) or any(s in text for s in self.special):
             return self._encode([text])[0]
         words = self.words.findall(text)
         new = [w for w in set(words) if w not in self.memo]

@@ -14,7 +14,6 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -99,3 +98,9 @@ def test_best_fit_against_a_plain_list(lengths, open_bins):
 @pytest.mark.parametrize("length,want", [(1, [(0, 1)]), (8, [(0, 8)]), (9, [(0, 1), (1, 8)]), (16, [(0, 8), (8, 8)])])
 def test_cut(length, want):
     assert packing.cut(length, 8) == want
+
+
+def test_a_text_with_the_tokenizers_own_token(spark):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "plain words")], "doc_id bigint, text string")
+    check(packing.pack_documents(docs, tokenizer_path(), capacity=3), docs, 3)
+    assert 50256 in library_ids(["a <|endoftext|> b"])[0]
