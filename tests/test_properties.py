@@ -163,8 +163,8 @@ def test_draws_are_reproducible_and_inside_the_space():
 def test_csv_columns_are_found_by_name(spark, tmp_path):
     from rankloom.sources import tables
 
-    (tmp_path / "one.csv").write_text("b,a\n1,x\n2,y\n")
-    (tmp_path / "two.csv").write_text("a,c,b\nz,q,3\n")
+    (tmp_path / "file one.csv").write_text("b,a\n1,x\n2,y\n")
+    (tmp_path / "two%20+.csv").write_text("a,c,b\nz,q,3\n")
     for options in ({"columns": ["a", "b"]}, {"schema": "a string, b string"}):
         rows = tables.read_csv(spark, str(tmp_path), **options).collect()
         assert sorted(map(tuple, rows)) == [("x", "1"), ("y", "2"), ("z", "3")]
