@@ -101,6 +101,26 @@ def ndcg_per_query(
     return got.withColumn("ndcg", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")))
 
 
+def score_and_grade_steps(df: DataFrame, keys: Sequence[str], relevance: str, score: str) -> DataFrame:
+    """Per key and ``_kind`` the rows of equal score (0) and of equal gain (1): ``_value``, ``_n``, ``_gain``.
+
+    Both sorts come from one pass over ``df`` and one aggregation; with ties by average they are all that NDCG needs.
+    """
+    gain = F.coalesce(F.col(relevance).cast("double"), F.lit(0.0))
+    kind = lambda n, value: F.struct(F.lit(n).alias("_kind"), value.alias("_value"))
+    rows = df.select(*keys, gain.alias("_g"), F.explode(F.array(kind(0, F.col(score).cast("double")), kind(1, gain))).alias("_x"))
+    return rows.groupBy(*keys, F.col("_x._kind").alias("_kind"), F.col("_x._value").alias("_value")).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("_g").alias("_gain")
+    )
+
+
+def ndcg_of_steps(steps: DataFrame, keys: Sequence[str], k: int = 5) -> DataFrame:
+    """ndcg per key from ``score_and_grade_steps``; NULL without a relevant item."""
+    gained = _gain_of_steps(steps, [*keys, "_kind"], [F.col("_value").desc_nulls_last()], k, "_sum")
+    only = lambda n: F.max(F.when(F.col("_kind") == n, F.col("_sum")))
+    return gained.groupBy(*keys).agg(F.when(only(1) > 0, only(0) / only(1)).alias("ndcg"))
+
+
 def empty_value(empty: str) -> Column:
     """Value of a query without a relevant item, NULL when such queries are skipped."""
     if empty not in EMPTY:

@@ -1,5 +1,7 @@
 """Properties on the shared tables and on planted data."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +171,20 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
         rows = tables.read_csv(spark, str(tmp_path), **options).collect()
         assert sorted(map(tuple, rows)) == [("x", "1"), ("y", "2"), ("z", "3")]
 
+
+
+def test_group_quality_in_one_scan_equals_the_parts(spark):
+    from rankloom.operators import fairness, metrics
+
+    rng = random.Random(4)
+    rows = [
+        (rng.choice([1, 2, 3, 4, None]), rng.choice([0, 1, 5, None]), rng.choice([0.1, 0.5, 0.9, None]), rng.choice([True, False, None]))
+        for _ in range(200)
+    ] + [(9, 0, 0.3, True)]
+    df = spark.createDataFrame(rows, "q int, rel int, s double, fam boolean")
+    got = fairness.evaluate_groups(df, "q", "rel", "s", F.col("fam")).first()
+    tagged = df.withColumn("inside", F.coalesce(F.col("fam"), F.lit(False)))
+    by = {r["inside"]: r["ndcg"] for r in metrics.mean_ndcg(tagged, "q", "rel", "s", by=["inside"]).collect()}
+    assert got["ndcg_overall"] == pytest.approx(metrics.mean_ndcg(df, "q", "rel", "s").first()["ndcg"])
+    assert got["ndcg_group"] == pytest.approx(by[True]) and got["ndcg_rest"] == pytest.approx(by[False])
+    assert got["rows_group"] == sum(bool(r[3]) for r in rows) and got["queries_group"] == len({r[0] for r in rows if r[3]})
