@@ -191,19 +191,14 @@ def e3(spark, sf):
 @register(
     "e3_preference_pairs_hot_query",
     with_impressions(
-        f"""select qid, prop_id_win, prop_id_lose, {r('rel_win')}, {r('rel_lose')}, rank_win, rank_lose, {r('delta')} from pr where rel_win = 5""",
+        f"""select qid, prop_id_win, prop_id_lose, {r('rel_win')}, {r('rel_lose')}, rank_win, rank_lose, {r('delta')} from pr""",
         **_pair_parts(None, qid="case when srch_id % 50 = 0 then 0 else srch_id end"),
     ),
 )
 def e3_hot(spark, sf):
-    """Pairs won by bookings, one query holding a fiftieth of all others' rows."""
-    from rankloom.operators.skew import hot_keys
-
+    """All pairs, one query holding a fiftieth of all rows and cut into pieces of 100 rows."""
     df = scored(spark, sf).withColumn("qid", F.expr("case when srch_id % 50 = 0 then 0 else srch_id end"))
-    out = pairs.preference_pairs(
-        df, "qid", "relevance", "score", [*TIES, "srch_id"], ["prop_id"], weighted=True, hot=hot_keys(df, ["qid"], limit=500)
-    )
-    return out.filter("rel_win = 5")
+    return pairs.preference_pairs(df, "qid", "relevance", "score", [*TIES, "srch_id"], ["prop_id"], weighted=True, limit=100)
 
 
 @register(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.columns import zscore
 from rankloom.operators.quantile import group_medians, weighted_quantiles
-from rankloom.operators.skew import Groups, attach, grouped, hot_keys, hot_rows
+from rankloom.operators.skew import Groups, attach, grouped, hot_keys, hot_rows, materialise, sent_if_small
 from rankloom.roles import Roles
 
 # Columns an item profile summarises.
@@ -292,9 +292,9 @@ def group_transform(
         if "median" in methods and not groups.spread:
             return groups.attach(part, **simple, **{names["median"]: F.median(column)})
         if "median" in methods:
-            # hot groups: one median per hot key, a bounded table
-            medians = group_medians(part, keys, {column: names["median"]}, hot)
-            part = part.join(F.broadcast(medians), keys, "left")
+            # one median per hot key; sent where that is little
+            medians = sent_if_small(materialise(group_medians(part, keys, {column: names["median"]}, hot)))
+            part = part.join(medians, keys, "left")
         return groups.attach(part, **simple) if simple else part
 
     df = grouped(df, keys, build, hot)
