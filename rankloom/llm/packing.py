@@ -12,8 +12,9 @@ in a hundred positions stays empty, this way about one in several thousand.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,11 @@ END = 0
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: In texts of these characters Python's classes and the tokenizer's are the same.
 PLAIN = r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ſ]*"
-#: Words a worker remembers, at most (about 200 MB); further ones are encoded each time they come.
-MEMO = 1_000_000
+#: Tabs, white space in a row or at the end. In texts without it a space always belongs to the word behind it
+#: and a line feed is alone, so such a text may be cut before each of them.
+UNEVEN = r"[\t\r]|[ \n][ \n]|[ \n]\Z"
+#: Bytes of words a worker remembers, about; further words are encoded each time they come.
+MEMO = 200_000_000
 
 PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -41,36 +45,62 @@ PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes.
 
-    Words (the tokenizer's own pre-tokens) are encoded by the ``tokenizers`` library; the first MEMO of
-    them are remembered, as frequent words come early. Texts with characters outside PLAIN or with one of the
-    tokenizer's own tokens go to it whole.
+    A word's ids come from the BPE model of the ``tokenizers`` library and are remembered up to MEMO, as frequent
+    words come early. Words are what stands between single spaces and line feeds; in UNEVEN texts they are the
+    tokenizer's own pre-tokens. Texts with characters outside PLAIN or with one of the tokenizer's own tokens go
+    to the library whole.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = re.compile(PATTERN)
         self.plain = re.compile(PLAIN)
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        self.uneven = re.compile(UNEVEN)
+        # the byte-level alphabet: bytes that do not print stand for themselves plus 256, counted up
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.marks = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+        self.space = chr(self.marks[32])
+        self.line = len(self._exact("\n"))
+        self.spaced: dict[str, bytes] = {}  # a word that starts with a line feed, else one with a space before it
+        self.exact: dict[str, bytes] = {}  # pre-tokens as they are
+        self.room = MEMO
+
+    def _whole(self, text: str) -> bytes:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.asarray(found.ids, "<u4").tobytes()
+
+    def _exact(self, token: str) -> bytes:
+        if token.isascii() and token.isprintable():
+            shown = token.replace(" ", self.space)
+        else:
+            shown = token.encode().decode("latin-1").translate(self.marks)
+        found = self.model.tokenize(shown)
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def _spaced(self, word: str) -> bytes:
+        return b"".join(map(self._exact, self.words.findall(word if word[0] == "\n" else " " + word)))
+
+    def _joined(self, words: list[str], memo: dict[str, bytes], encode: Callable[[str], bytes]) -> bytes:
+        new = set(words).difference(memo)
+        if new:
+            coded = {w: encode(w) for w in new}
+            self.room -= sum(150 + len(w) + len(ids) for w, ids in coded.items())
+            if self.room < 0:
+                return b"".join([coded[w] if w in coded else memo[w] for w in words])
+            memo.update(coded)
+        return b"".join(map(memo.__getitem__, words))
 
     def ids(self, text: str) -> bytes:
         if not self.plain.fullmatch(text) or any(s in text for s in self.special):
-            return self._encode([text])[0]
-        words = self.words.findall(text)
-        new = [w for w in set(words) if w not in self.memo]
-        if not new:
-            return b"".join(map(self.memo.__getitem__, words))
-        coded = dict(zip(new, self._encode(new)))
-        if len(self.memo) + len(new) <= MEMO:
-            self.memo.update(coded)
-            return b"".join(map(self.memo.__getitem__, words))
-        return b"".join([coded[w] if w in coded else self.memo[w] for w in words])
+            return self._whole(text)
+        even = "\n" + text
+        if self.uneven.search(even):
+            return self._joined(self.words.findall(text), self.exact, self._exact)
+        return self._joined(even.replace("\n", " \n")[1:].split(" "), self.spaced, self._spaced)[self.line :]
 
 
 _ENCODERS: dict[int, Encoder] = {}  # one per Python worker and tokenizer

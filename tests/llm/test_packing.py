@@ -104,3 +104,27 @@ def test_a_text_with_the_tokenizers_own_token(spark):
     docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "plain words")], "doc_id bigint, text string")
     check(packing.pack_documents(docs, tokenizer_path(), capacity=3), docs, 3)
     assert 50256 in library_ids(["a <|endoftext|> b"])[0]
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        return packing.Encoder(f.read())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Bc", "é", "ſ", "'s", "'", ".", " ", "  ", "\n", "\n\n", "\t", "\r", "12", "_", "don't", "日", "\x7f"]), max_size=14))
+def test_any_mix_of_words_and_white_space(encoder, parts):
+    text = "".join(parts)
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want
+
+
+def test_words_beyond_the_memory_are_the_same(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 2000)
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        small = packing.Encoder(f.read())
+    texts = [" ".join(f"word{k % n}." for k in range(60)) for n in (3, 50, 60)]
+    for t, want in zip(texts, library_ids(texts)):
+        assert np.frombuffer(small.ids(t), "<u4").tolist() == want[:-1]
+    assert small.room < 0
