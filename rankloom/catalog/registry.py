@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
-_MODULES = ("tables", "profiles", "feature_sets", "group_stats", "encodings", "ranking", "models")
+_MODULES = ("tables", "profiles", "feature_sets", "group_stats", "encodings", "refreshed", "ranking", "models")
 
 
 def register(name: str, sql: str | None = None):

@@ -26,6 +26,8 @@ NAMES = (
     "k3_query_blocks",
     "t2_out_of_fold_item_rates",
     "t5_apply_market_item_rates",
+    "t3_refreshed_item_rates",
+    "g7_refreshed_market_stats",
     "x3_feature_table",
     "x4_classic_features",
     "m1_ndcg_per_query",
