@@ -108,7 +108,8 @@ def without_repeats(
     lines = F.array_distinct(F.flatten(F.collect_list("places")))
     by_doc = found.groupBy(F.col("doc_id").alias(key), F.col("own").alias(of)).agg(lines.alias(gone))
     by_doc = stored(by_doc, "lines-to-delete")
-    joined = docs.join(by_doc, (docs[id] == by_doc[key]) & (F.xxhash64(text_of(text)) == by_doc[of]), "left")
+    # always by a sort-merge join: deletions grow with the texts, and the plan (and its disk) is alike at every size
+    joined = docs.join(by_doc.hint("merge"), (docs[id] == by_doc[key]) & (F.xxhash64(text_of(text)) == by_doc[of]), "left")
     column = F.col(f"`{text}`")
     kept = F.array_join(F.transform(
         F.filter(
