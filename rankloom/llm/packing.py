@@ -33,9 +33,9 @@ END = 0
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: In texts of these characters Python's classes and the tokenizer's are the same.
 PLAIN = r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ſ]*"
-#: Tabs, white space in a row or at the end. In texts without it a space always belongs to the word behind it
-#: and a line feed is alone, so such a text may be cut before each of them.
-UNEVEN = r"[\t\r]|[ \n][ \n]|[ \n]\Z"
+#: Tabs and white space in a row. In PLAIN texts without these and without white space at the end, a space always
+#: belongs to the word behind it and a line feed is alone, so such a text may be cut before each of them.
+UNEVEN = ("\t", "\r", "  ", " \n", "\n ", "\n\n")
 #: Bytes of words a worker remembers, about; further words are encoded each time they come.
 MEMO = 200_000_000
 
@@ -59,7 +59,6 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = re.compile(PATTERN)
         self.plain = re.compile(PLAIN)
-        self.uneven = re.compile(UNEVEN)
         # the byte-level alphabet: bytes that do not print stand for themselves plus 256, counted up
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.marks = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
@@ -98,7 +97,7 @@ class Encoder:
         if not self.plain.fullmatch(text) or any(s in text for s in self.special):
             return self._whole(text)
         even = "\n" + text
-        if self.uneven.search(even):
+        if even[-1] in " \n" or any(s in even for s in UNEVEN):
             return self._joined(self.words.findall(text), self.exact, self._exact)
         return self._joined(even.replace("\n", " \n")[1:].split(" "), self.spaced, self._spaced)[self.line :]
 
