@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rankloom.operators.clean import numeric_columns
 from rankloom.operators.features import add_ordinal_ranks
 from rankloom.operators.quantile import quantiles
-from rankloom.operators.skew import BROADCAST_VALUES, attach, materialise, running_totals
+from rankloom.operators.skew import BROADCAST_VALUES, attach, is_small, running_totals, stored
 
 # Probabilities of the numeric summary and of the quantile report.
 SUMMARY_PROBS = {"q001": 0.001, "q01": 0.01, "q25": 0.25, "q75": 0.75, "q99": 0.99, "q999": 0.999}
@@ -280,19 +280,24 @@ def spearman(df: DataFrame, columns: Sequence[str], sent: int = BROADCAST_VALUES
     in the same rows are one class). Ranks of columns with few values, ``sent`` numbers together, are
     looked up in every task, those of the others are joined; then each task adds up the products of all
     its ranks, and these sums merge. Work is rows x columns x classes.
+
+    A join that has to shuffle takes a row's number and one value there, and its ranks back, as 4-byte
+    whole numbers where they fit; no column travels with another one's ranks.
     """
     columns, spark = list(columns), df.sparkSession
     names = [f"c{k}" for k in range(len(columns))]
-    df = materialise(df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names)]))
+    df = stored(df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names)], F.monotonically_increasing_id().alias("_row")))
     classes = _null_classes(df, names)
     slots, leads = len(classes), [c[0] for c in classes[1:]]
     class_of = {k: b for b, c in enumerate(classes) for k in c}
-    counts = materialise(_value_counts(df, len(names), leads))
+    counts = stored(_value_counts(df.select(*names), len(names), leads))
     sums = {r["c"]: r for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("d"), *[F.sum(f"n{b}").alias(f"n{b}") for b in range(slots)]).collect()}
     ranked = running_totals(counts, ["c"], [F.col("value").asc()], **{f"u{b}": F.col(f"n{b}") for b in range(slots)})
     totals = [F.create_map(*[F.lit(x) for k in sums for x in (k, sums[k][f"n{b}"])]) if sums else F.create_map() for b in range(slots)]
-    rank = lambda b: (2 * F.col(f"u{b}") - F.col(f"n{b}") - F.element_at(totals[b], F.col("c"))) / 2.0
-    ranked = materialise(ranked.select("c", "value", "n0", F.array(*[rank(b) for b in range(slots)]).alias("ranks")))
+    whole = "int" if all(r["n0"] < 2**31 for r in sums.values()) else "bigint"
+    # twice the rank, counted from the middle: a whole number of at most n0
+    rank = lambda b: (2 * F.col(f"u{b}") - F.col(f"n{b}") - F.element_at(totals[b], F.col("c"))).cast(whole)
+    ranked = stored(ranked.select("c", "value", "n0", F.array(*[rank(b) for b in range(slots)]).alias("ranks")))
     few, size = [], 0
     for k in sorted(sums, key=lambda k: sums[k]["d"]):
         size += sums[k]["d"] * (slots + 1)
@@ -301,11 +306,16 @@ def spearman(df: DataFrame, columns: Sequence[str], sent: int = BROADCAST_VALUES
     tables = {}
     for k, own in ranked.filter(F.col("c").isin(few)).select("c", "value", "ranks").toPandas().groupby("c") if few else ():
         own = own.sort_values("value")
-        tables[int(k)] = (own["value"].to_numpy(), np.stack(own["ranks"].to_numpy()))
+        tables[int(k)] = (own["value"].to_numpy(), np.stack(own["ranks"].to_numpy()) / 2.0)
     joined = [k for k in sums if k not in tables]
-    for k in joined:
+    rows = df
+    for k in sorted(joined, key=lambda k: -sums[k]["d"]):  # joins that shuffle come first
         own = ranked.filter(F.col("c") == k).select(F.col("value").alias(names[k]), F.col("n0").alias("_n"), F.col("ranks").alias(f"r{k}"))
-        df = attach(df, own, [names[k]], "_n", settle=False)
+        if is_small(own):
+            df = attach(df, own, [names[k]], "_n", settle=False)
+        else:
+            found = attach(rows.select("_row", names[k]).filter(F.col(names[k]).isNotNull()), own, [names[k]], "_n", settle=False)
+            df = df.join(found.select("_row", f"r{k}"), "_row", "left")
     df = df.select(*names, *[f"r{k}" for k in joined])
     known = spark.sparkContext.broadcast(tables)  # no more than ``sent`` numbers
 
@@ -322,7 +332,7 @@ def spearman(df: DataFrame, columns: Sequence[str], sent: int = BROADCAST_VALUES
                     values, r = known.value[k]
                     x[here] = r[np.searchsorted(values, own.drop_null().to_numpy(zero_copy_only=False) + 0.0)]
                 elif k in joined and here.any():
-                    x[here] = batch.column(len(names) + joined.index(k)).filter(pa.array(here)).flatten().to_numpy(zero_copy_only=False).reshape(-1, slots)
+                    x[here] = batch.column(len(names) + joined.index(k)).filter(pa.array(here)).flatten().to_numpy(zero_copy_only=False).reshape(-1, slots) / 2.0
                 ranks[k] = x
             for a in range(slots):
                 for b in range(a, slots):
