@@ -6,8 +6,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import features, metrics, pairs, profile, rankers, skew
+from rankloom.operators import features, metrics, pairs, profile, quantile, rankers, skew, stats
 from rankloom.plans import feature_tables
+from rankloom.roles import Roles
 
 
 def rows(n=120, per=4):
@@ -114,3 +115,82 @@ def test_cells_are_joined_to_narrow_rows(spark, sf_dir, monkeypatch):
     df = impressions(spark, sf_dir)
     feature_tables.feature_table(df.filter("split = 'train'").drop("split"), df.filter("split = 'test'").drop("split"), ROLES)
     assert [("query_price_mean" in columns) for n, columns in seen if n == 3] == [False]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_lambda_terms_are_columns(spark, ranked):
+    """No array function that is interpreted entry by entry; hot and ordinary queries get the same numbers."""
+    plain = pairs.lambda_gradients(ranked, "q", "rel", "s", ["i"], truncation=3)
+    assert "lambdafunction" not in plan_of(plain)
+    hot = skew.hot_keys(ranked, ["q"], limit=3)
+    spread = pairs.lambda_gradients(skew.stored(ranked), "q", "rel", "s", ["i"], truncation=3, hot=hot)
+    a, b = ({r["i"]: (r["lambda"], r["hessian"]) for r in df.collect()} for df in (plain, spread))
+    assert a.keys() == b.keys() and len(a) == 120 and any(x[0] for x in a.values())
+    assert all(a[i] == pytest.approx(b[i], abs=1e-12) for i in a)
+
+
+def test_lambdas_of_rows_without_a_query_are_zero(spark, ranked):
+    df = ranked.withColumn("q", F.when(F.col("q") > 3, F.col("q")))
+    out = pairs.lambda_gradients(df, "q", "rel", "s", ["i"]).filter("q is null")
+    assert out.count() == 16 and out.filter("lambda <> 0 or hessian <> 0").isEmpty()
+
+
+def test_hot_places_are_stored_once(spark, ranked, monkeypatch):
+    """One range shuffle; no window shuffles the hot rows again, and later passes read them from files."""
+    monkeypatch.setattr(skew, "TASK_ROWS", 10)
+    out = skew.Groups(["q"], spread=True).ordinal(ranked.withColumn("q", F.col("i") % 2), at=[F.col("s").desc(), F.col("i")])
+    assert out.inputFiles() and "Window" not in plan_of(out)
+    got = {r["i"]: r["at"] for r in out.collect()}
+    for q in (0, 1):
+        order = sorted((r for r in rows() if r[1] % 2 == q), key=lambda r: (-r[3], r[1]))
+        assert [got[r[1]] for r in order] == list(range(1, 61))
+
+
+def test_hot_medians_are_counted(spark, monkeypatch):
+    """A few hot keys need neither a shuffle nor a sort of their rows; many take the range sort."""
+    made = [(None if i % 3 == 0 else i % 3, float(i * 7 % 101) if i % 5 else None, float(i % 4), None) for i in range(300)]
+    df = spark.createDataFrame(made, "k int, x double, y double, z double")
+    names, hot = {"x": "mx", "y": "my", "z": "mz"}, skew.hot_keys(df, ["k"], 50)
+    wanted = {r["k"]: r for r in quantile.group_medians(df, ["k"], names, None).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(quantile, "FEW_KEYS", 0)
+        assert {r["k"]: r for r in quantile.group_medians(df, ["k"], names, hot).collect()} == wanted
+    monkeypatch.setattr(quantile, "weighted_quantiles", None)
+    assert {r["k"]: r for r in quantile.group_medians(df, ["k"], names, hot).collect()} == wanted and len(wanted) == 3
+
+
+def test_profiles_sum_up_where_the_rows_of_an_item_are(spark, ranked):
+    roles = Roles(item="q")
+    out = stats.item_profile(ranked, roles, ["a", "s"])
+    assert plan_of(out).split("== Physical Plan ==")[1].count("Exchange hashpartitioning(q") == 1 and "REPARTITION_BY_NUM" in plan_of(out)
+    hot = stats.item_profile(skew.stored(ranked), roles, ["a", "s"], hot=skew.hot_keys(ranked.filter("q < 5"), ["q"], 3))
+    key = lambda df: {r["q"]: r for r in df.select("q", "_rows", *[F.round(c, 9).alias(c) for c in out.columns[2:]]).collect()}
+    assert key(out) == key(hot) and len(key(out)) == 30
+
+
+def test_frequencies_read_stored_rows(spark, ranked):
+    """The source is read once for each key: it is not worked out as often."""
+    df = ranked.withColumn("b", F.when(F.col("i") % 3 > 0, F.col("i") % 3))
+    for source in (df, ranked.withColumn("b", F.when(F.col("i") % 3 > 0, F.col("i") % 3))):
+        out = stats.add_frequencies(df, source, ["q", "b"])
+        assert out.inputFiles() if source is df else True
+        assert {(r["q_freq"], r["b_freq"]) for r in out.collect()} == {(4, 40), (4, None)}
+
+
+def test_positions_are_ranked_from_stored_rows(spark, sf_dir):
+    from rankloom.catalog import group_stats
+
+    files = group_stats.w3(spark, sf_dir).inputFiles()
+    assert files and all("stored-" in f for f in files)
+
+
+def test_known_ordinary_queries_are_dealt_for_fitting(spark, ranked, monkeypatch):
+    from rankloom.operators import boosting
+
+    seen = []
+    monkeypatch.setattr(boosting, "materialise", lambda df, f=boosting.materialise: seen.append(plan_of(df)) or f(df))
+    boosting.fit_ranking_trees(ranked, ["a", "s"], "q", "rel", ["i"], boosting.BoostParams(rounds=1, max_depth=1, min_rows_in_leaf=1))
+    assert "REPARTITION_BY_NUM" in seen[0] and "Join" not in seen[0]
