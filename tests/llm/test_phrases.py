@@ -1,7 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankloom.llm import phrases as P
@@ -79,3 +82,14 @@ def test_products_beyond_64_bits(spark):
     row = spark.sql("select 20000000000L a, 30000000000L l, 40000000000L r")
     got = row.select(F.expr("(cast(1000000 as decimal(7,0)) * cast(a as decimal(19,0)) * cast(a as decimal(19,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))").alias("s"))
     assert got.first()["s"] == 10**6 * 20000000000**2 // (30000000000 * 40000000000)
+
+
+def test_a_group_of_suffixes_fits_a_task():
+    rng, n = np.random.default_rng(3), 300_000
+    words = pa.array([f"w{k}" for k in range(20_000)], pa.large_string())
+    cols = rng.integers(1, 20_001, (3, n), np.int32)
+    tracemalloc.start()
+    P._leaf_totals(cols, None, words, "en", 0, 10)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (most + cols.nbytes) / n * 2 * P.BUDGET < 250e6
