@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 from rankloom.operators.clean import numeric_columns
 from rankloom.operators.features import add_ordinal_ranks
-from rankloom.operators.quantile import quantiles
+from rankloom.operators.quantile import as_doubles, quantiles, stored_quantiles
 from rankloom.operators.skew import BROADCAST_VALUES, attach, is_small, running_totals, stored
 
+SUMMED = 8  # columns whose sums are one aggregation
+
 # Probabilities of the numeric summary and of the quantile report.
 SUMMARY_PROBS = {"q001": 0.001, "q01": 0.01, "q25": 0.25, "q75": 0.75, "q99": 0.99, "q999": 0.999}
 REPORT_PROBS = {
@@ -66,22 +69,35 @@ def numeric_summary(
 ) -> DataFrame:
     """Missing count/fraction, mean, std, min, quantiles, median and max per numeric column."""
     columns = list(columns or numeric_columns(df))
-    aggs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        aggs += [
-            F.count_if(x.isNull()).alias(f"{c}__missing_count"),
-            F.round(F.avg(x.isNull().cast("int")), 6).alias(f"{c}__missing_fraction"),
-            F.avg(x).alias(f"{c}__mean"),
-            F.stddev_samp(x).alias(f"{c}__std"),
-            F.min(x).alias(f"{c}__min"),
-            F.max(x).alias(f"{c}__max"),
-        ]
-    fields = ["missing_count", "missing_fraction", "mean", "std", "min", "max"]
     # the median of an even number of values lies between two of them, hence its own rule
     probs = [*SUMMARY_PROBS.values(), (0.5, "linear")]
-    spread = quantiles(df, columns, probs, method, large)
-    both = _tall(df.agg(*aggs), columns, fields).join(F.broadcast(spread), "variable", "left")  # one row per column
+    if large is None:
+        rows = as_doubles(df, columns)
+        x = {c: F.col(f"c{k}") for k, c in enumerate(columns)}
+        spread = stored_quantiles(rows, columns, probs, method)
+    else:
+        rows, x = df, {c: F.col(c).cast("double") for c in columns}
+        spread = quantiles(df, columns, probs, method, large)
+    fields = ["missing_count", "missing_fraction", "mean", "std", "min", "max"]
+
+    def sums(own: Sequence[str]) -> DataFrame:
+        aggs = []
+        for c in own:
+            missing = F.count(F.lit(1)) - F.count(x[c])
+            aggs += [
+                missing.alias(f"{c}__missing_count"),
+                F.round(F.try_divide(missing, F.count(F.lit(1))), 6).alias(f"{c}__missing_fraction"),
+                F.avg(x[c]).alias(f"{c}__mean"),
+                F.stddev_samp(x[c]).alias(f"{c}__std"),
+                F.min(x[c]).alias(f"{c}__min"),
+                F.max(x[c]).alias(f"{c}__max"),
+            ]
+        return _tall(rows.agg(*aggs), own, fields)
+
+    # few columns at once, as methods of hundreds of sums are too long to be compiled; stored rows are read by column
+    step = SUMMED if large is None else len(columns)
+    tall = reduce(DataFrame.unionByName, [sums(columns[at : at + step]) for at in range(0, len(columns), step)])
+    both = tall.join(F.broadcast(spread), "variable", "left")  # one row per column
     at = {n: F.element_at("quantiles", i + 1).alias(n) for i, n in enumerate(SUMMARY_PROBS)}
     return both.select(
         "variable",

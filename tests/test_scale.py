@@ -1,5 +1,6 @@
 """What travels through joins and how many rows a task gets, as tables grow."""
 
+import math
 
 import numpy as np
 import pandas as pd
@@ -194,3 +195,17 @@ def test_known_ordinary_queries_are_dealt_for_fitting(spark, ranked, monkeypatch
     monkeypatch.setattr(boosting, "materialise", lambda df, f=boosting.materialise: seen.append(plan_of(df)) or f(df))
     boosting.fit_ranking_trees(ranked, ["a", "s"], "q", "rel", ["i"], boosting.BoostParams(rounds=1, max_depth=1, min_rows_in_leaf=1))
     assert "REPARTITION_BY_NUM" in seen[0] and "Join" not in seen[0]
+
+
+def test_few_values_are_counted_once(spark, monkeypatch):
+    from rankloom.operators import profile, quantile
+
+    passes, counted = [], quantile._counted
+    monkeypatch.setattr(quantile, "_counted", lambda df, *a: passes.append(1) or counted(df, *a))
+    rows = [(k % 7 - 3.0, float("nan") if k % 5 == 0 else -0.0, None) for k in range(500)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(3)
+    found = {r["variable"]: r for r in profile.numeric_summary(df).collect()}
+    assert len(passes) == 1
+    assert (found["a"]["q25"], found["a"]["median"], found["a"]["q99"]) == (-2.0, 0.0, 3.0)
+    assert found["b"]["median"] == 0.0 and math.isnan(found["b"]["q99"]) and found["b"]["missing_count"] == 0
+    assert found["c"]["missing_fraction"] == 1.0 and found["c"]["median"] is None
