@@ -209,3 +209,15 @@ def test_few_values_are_counted_once(spark, monkeypatch):
     assert (found["a"]["q25"], found["a"]["median"], found["a"]["q99"]) == (-2.0, 0.0, 3.0)
     assert found["b"]["median"] == 0.0 and math.isnan(found["b"]["q99"]) and found["b"]["missing_count"] == 0
     assert found["c"]["missing_fraction"] == 1.0 and found["c"]["median"] is None
+
+
+def test_lines_are_dealt_before_their_joins(spark, sf_dir, monkeypatch):
+    from rankloom.catalog.impressions import impressions
+    from rankloom.operators import skew
+
+    want = sorted(impressions(spark, sf_dir).select("srch_id", "prop_id", "position", "price_usd").collect())
+    monkeypatch.setattr(skew, "TASK_ROWS", 50)
+    df = impressions(spark, sf_dir)
+    assert sorted(df.select("srch_id", "prop_id", "position", "price_usd").collect()) == want
+    per_task = df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert per_task < 6 * 50
