@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,7 @@ PERCENT = 80
 KEPT = 128
 SIGMAS = 6
 ALL = 1 << 40  # retained values, where a set is listed whole
+BEFORE = 64  # earlier values a listed one carries along
 HUB = 500  # pairs of one document that may share one copy of its full set
 
 
@@ -86,27 +87,34 @@ def _sets(docs: DataFrame, words: int, full: bool, kept: int = KEPT) -> DataFram
 
 
 def _listed(classes: DataFrame, kept: int, percent: int) -> DataFrame:
-    """(value, df, rep, n, typical, place, before): every class under its rarest retained values, as many as
-    have to be listed; ``typical`` sums up the frequencies of all its values, ``place`` counts those that are rarer, ``before`` are the listed ones of them."""
+    """(value, df, rep, n, typical, place, nth): every class under its rarest retained values, as many as
+    have to be listed; ``typical`` sums up the frequencies of all its values, ``place`` counts those that are rarer, ``nth`` the listed ones up to it."""
     values = classes.select("rep", "n", F.size("sketch").alias("have"), F.explode("sketch").alias("value"))
     shared = stored(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared-values")
     total = shared.agg(F.sum("df")).first()[0] or 0
     found = attach(values, shared, "value", "df", total)
-    # values of one class alone are the rarest, and there is nothing to meet in their lists
-    own = found.groupBy("rep", "n", "have").agg(
-        F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by_df"), F.sum("df").alias("typical")
-    )
-    room = F.col("have") - need(F.col("n"), kept, percent) + 1 - (F.col("have") - F.size("by_df"))
+    # values of one class alone are the rarest, and there is nothing to meet in their lists. A set's values are
+    # sorted, not collected: lists of them as objects, and a copy of the list for every value, filled the heap
+    own = Window.partitionBy("rep", "n", "have").orderBy("df", "value")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    alone = F.col("have") - F.count(F.lit(1)).over(whole)
     return (
-        own.withColumn("room", room).filter("room > 0").withColumn("top", F.slice("by_df", 1, F.col("room")))
-        .select("rep", "n", "typical", "top", (F.col("have") - F.size("by_df")).alias("alone"), F.posexplode("top").alias("nth", "x"))
-        .select(
-            F.col("x.value").alias("value"), F.col("x.df").alias("df"), "rep", "n", "typical", (F.col("alone") + F.col("nth")).alias("place"),
-            F.expr("slice(transform(top, y -> y.value), 1, nth)").alias("before"),
-        )
+        found.withColumns({"typical": F.sum("df").over(whole), "alone": alone, "nth": F.row_number().over(own)})
+        .filter(F.col("nth") <= F.col("have") - need(F.col("n"), kept, percent) + 1 - F.col("alone"))
+        .select("value", "df", "rep", "n", "typical", (F.col("alone") + F.col("nth") - 1).alias("place"), "nth")
     )
 
 
+def _with_before(listed: DataFrame) -> DataFrame:
+    """``listed`` with ``before``: up to BEFORE listed values of the same set that come next before a value.
+
+    Two sets meet once in every listed value they share; a meeting with a shared value among both ``before`` is no
+    news. The meetings left are at most 1 + (listed values of both) / BEFORE, and an array's size is bounded.
+    """
+    last = Window.partitionBy("rep", "n").orderBy("nth").rowsBetween(-BEFORE, -1)
+    return listed.withColumn("before", F.collect_list("value").over(last))
+
+
 def _near_size(percent: int) -> Column:
     return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
 
@@ -148,7 +156,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
 def _links(classes: DataFrame, docs: DataFrame, words: int, percent: int, kept: int) -> DataFrame:
     """Links (a, b) between classes whose components are those of all links."""
-    listed = stored(_listed(classes, kept, percent), "listed-values")
+    listed = stored(_listed(classes, kept, percent).select("value", "rep", "n", "typical"), "listed-values")
     center = F.min(F.struct((-F.col("typical")).alias("t"), "rep", "n")).alias("center")
     lists = stored(listed.groupBy("value").agg(F.count(F.lit(1)).alias("members"), center).filter("members > 1"), "lists")
     total = lists.agg(F.sum("members")).first()[0] or 0
@@ -181,11 +189,11 @@ def _across(ids: DataFrame, member: DataFrame, docs: DataFrame, words: int, perc
     The same inverted lists as of the sketches, but of whole sets, whose share of common values
     is no estimate: only as many of the rarest are listed as similar sets may differ in, and what a near
     copy has alone is the rarest. Members of a list that are outside its main component are paired
-    with the others, in the first list they share.
+    with the others, in the first list they share and in later ones only where that lies BEFORE values back.
     """
     sets = stored(_sets(docs.join(ids, "doc_id", "left_semi"), words, True), "unsure-sets")
     whole = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("sketch"))
-    listed = stored(_listed(whole, ALL, percent), "full-listed")
+    listed = stored(_with_before(_listed(whole, ALL, percent)).select("value", "rep", "n", "place", "before"), "full-listed")
     placed = listed.join(member, F.col("rep") == F.col("node"), "left").select(
         "value", "rep", "n", "place", "before", F.coalesce("component", "rep").alias("component")
     )

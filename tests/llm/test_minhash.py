@@ -1,10 +1,12 @@
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 
 from rankloom.llm import minhash
+from rankloom.llm.common import shared_dir
 from rankloom.llm.components import components
 
 
@@ -132,3 +134,19 @@ def test_group_whose_copies_differ_and_a_chain(spark):
                 parent[b] = a
     assert out == {i: root(i) for i in ids}
     assert len(set(out.values())) > 3 and sum(v == out[2000] for v in out.values()) == 60
+
+
+def test_stored_lists_grow_with_the_set_and_not_its_square(spark):
+    """Long texts a little too far apart, so that their full sets are listed: a value carries few earlier ones along."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template = fresh(1740)
+    data = [(i, " ".join(template + fresh(260))) for i in range(3)]
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    there = {*shared.iterdir()}
+    docs = spark.createDataFrame(data, "doc_id bigint, text string").repartition(2)
+    assert found(minhash.near_duplicates(docs)) == brute(data, 80)
+    new = {p.name.rsplit("-", 1)[0]: spark.read.parquet(str(p)) for p in {*shared.iterdir()} - there}
+    assert "before" not in new["listed-values"].columns
+    sizes = [r[0] for r in new["full-listed"].selectExpr("size(before)").collect()]
+    assert len(sizes) > 300 and max(sizes) == minhash.BEFORE
