@@ -20,7 +20,7 @@ def test_stages_send_small_batches(spark):
         spark.conf.set(NAME, before)
 
 
-@pytest.mark.parametrize("name", ["op1_best_fit_packing"])
+@pytest.mark.parametrize("name", ["op1_best_fit_packing", "op10_minhash_near_dedup"])
 def test_queries_send_small_batches(spark, name):
     folder = common.new_folder(spark, "batches")
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
