@@ -256,11 +256,13 @@ def normalise(
     column: str,
     take_log10: bool = False,
     hot: DataFrame | None | str = "detect",
+    joined: bool = False,
 ) -> DataFrame:
     """(x - group mean) / group deviation as ``{column}_norm_by_{keys}``.
 
     No epsilon: a group without spread gives NULL. With ``take_log10`` the column
-    itself is first replaced by log10(x + 1e-4). Rows without a key are dropped.
+    itself is first replaced by log10(x + 1e-4). Rows without a key are dropped. ``joined``: the
+    groups' statistics are joined to the rows, which are not dealt by key and should be ``stored``.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if take_log10:
@@ -274,7 +276,7 @@ def normalise(
             "_mean", "_std"
         )
 
-    return grouped(df, keys, build, hot)
+    return build(df, Groups(keys, spread=True)) if joined else grouped(df, keys, build, hot)
 
 
 _AGGREGATES = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}
@@ -287,18 +289,20 @@ def group_transform(
     methods: Sequence[str] = ("mean", "median", "min", "max"),
     transforms: dict[str, Sequence[str]] | None = None,
     hot: DataFrame | None | str = "detect",
+    joined: bool = False,
 ) -> DataFrame:
     """Attach group aggregates of a column and row-versus-group transforms.
 
     Aggregates are named ``{column}_{method}_by_{keys}``; transforms ``subtract`` and
     ``divide`` are named ``{column}_{transform}_{method}_by_{keys}``, so the same column
-    compared within two keys gives two columns. Rows without a key are dropped.
+    compared within two keys gives two columns. Rows without a key are dropped. ``joined`` as in
+    ``normalise``, not for medians.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     transforms = {"mean": ["subtract"]} if transforms is None else transforms
     by = "_".join(keys)
     df = df.dropna(subset=keys)
-    if isinstance(hot, str):
+    if isinstance(hot, str) and not joined:
         df, hot = dealt(df, keys)
         df = df if hot is None else stored(df)
     names = {m: f"{column}_{m}_by_{by}" for m in methods}
@@ -313,7 +317,7 @@ def group_transform(
             part = part.join(medians, keys, "left")
         return groups.attach(part, **simple) if simple else part
 
-    df = grouped(df, keys, build, hot)
+    df = build(df, Groups(keys, spread=True)) if joined else grouped(df, keys, build, hot)
     out = {}
     for m, applied in transforms.items():
         for t in applied:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators import clean, features, splits, stats
-from rankloom.operators.skew import attach, dealt
+from rankloom.operators.skew import attach, dealt, stored
 from rankloom.roles import Roles
 
 
@@ -24,8 +24,7 @@ def classic_features(
         df = df.withColumn("target", features.first_match_target(r))
     df = df.withColumns(features.date_parts(r.time)).drop(r.time)
     df = clean.drop_sparse_columns(df, sparse_threshold, keep=(*clean.KEEP_WHEN_SPARSE, "target"))
-    rows = df
-    df, by_query = dealt(rows, [r.query])
+    df, by_query = dealt(df, [r.query])
 
     df = stats.normalise(df, r.query, r.price, take_log10=True, hot=by_query)
     df = stats.normalise(df, r.query, r.star, hot=by_query)
@@ -33,11 +32,11 @@ def classic_features(
         df = stats.normalise(df, r.query, c, hot=by_query)
     for c in (r.star, r.loc2, r.loc1, r.review, r.promo):
         df = stats.group_transform(df, r.query, c, ["mean"], hot=by_query)
-    df, by_item = dealt(df, [r.item], source=rows)
-    df = stats.normalise(df, r.item, r.price, hot=by_item)
-    df = stats.group_transform(df, r.item, r.price, ["mean"], hot=by_item)
-    df, by_market = dealt(df, [r.market], source=rows)
-    df = stats.group_transform(df, r.market, r.price, ["mean"], hot=by_market)
+    # items and markets have few numbers each: these go to the rows, which are wide by now and stay where they are
+    df = stored(df)
+    df = stats.normalise(df, r.item, r.price, joined=True)
+    df = stats.group_transform(df, r.item, r.price, ["mean"], joined=True)
+    df = stats.group_transform(df, r.market, r.price, ["mean"], joined=True)
     return df.drop(*[c for c in clean.LABEL_COLUMNS if c != "target"])
 
 
