@@ -8,14 +8,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators.clean import numeric_columns
 from rankloom.operators.features import add_ordinal_ranks
 from rankloom.operators.quantile import as_doubles, quantiles, stored_quantiles
-from rankloom.operators.skew import BROADCAST_VALUES, attach, is_small, running_totals, stored
+from rankloom.operators.skew import BROADCAST_VALUES, attach, dealt, dealt_by, discard, is_small, running_totals, stored
 
+PLANE_ROWS = 2_000  # rows whose ranks are multiplied at once: their planes stay in a core's cache
 SUMMED = 8  # columns whose sums are one aggregation
 
 # Probabilities of the numeric summary and of the quantile report.
@@ -273,13 +275,21 @@ def _value_counts(df: DataFrame, width: int, leads: list[int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            present = [np.ones(batch.num_rows, bool), *(batch.column(k).is_valid().to_numpy(zero_copy_only=False) for k in leads)]
+            present = np.stack([np.ones(batch.num_rows, bool), *(batch.column(k).is_valid().to_numpy(zero_copy_only=False) for k in leads)])
+            # rows by the leads they have: a few values are counted once for each such pattern, not once for each lead
+            _, first, of_row = np.unique(np.packbits(present, axis=0).T.copy().view(f"V{(slots + 7) // 8}").reshape(-1), return_index=True, return_inverse=True)
+            patterns = present[:, first].astype(float)
             parts = []
             for c in range(width):
                 own = batch.column(c)
                 here = own.is_valid().to_numpy(zero_copy_only=False)
-                values, back = np.unique(own.drop_null().to_numpy(zero_copy_only=False) + 0.0, return_inverse=True)
-                counts = [np.bincount(back, p[here], len(values)).astype(np.int64) for p in present]
+                coded = pc.dictionary_encode(pc.add(own.drop_null(), 0.0))  # -0.0 is 0.0
+                values, back = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(values) * len(first) <= 20 * batch.num_rows:
+                    both = np.bincount(back * len(first) + of_row[here], minlength=len(values) * len(first))
+                    counts = (both.reshape(-1, len(first)).astype(float) @ patterns.T).astype(np.int64).T
+                else:
+                    counts = [np.bincount(back[p[here]], minlength=len(values)).astype(np.int64) for p in present]
                 parts.append((np.full(len(values), c, np.int32), values, *counts))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["c", "value", *(f"n{b}" for b in range(slots))])
 
@@ -303,17 +313,21 @@ def spearman(df: DataFrame, columns: Sequence[str], sent: int = BROADCAST_VALUES
     columns, spark = list(columns), df.sparkSession
     names = [f"c{k}" for k in range(len(columns))]
     df = stored(df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names)], F.monotonically_increasing_id().alias("_row")))
+    held = [df]
     classes = _null_classes(df, names)
     slots, leads = len(classes), [c[0] for c in classes[1:]]
     class_of = {k: b for b, c in enumerate(classes) for k in c}
     counts = stored(_value_counts(df.select(*names), len(names), leads))
+    held.append(counts)
     sums = {r["c"]: r for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("d"), *[F.sum(f"n{b}").alias(f"n{b}") for b in range(slots)]).collect()}
-    ranked = running_totals(counts, ["c"], [F.col("value").asc()], **{f"u{b}": F.col(f"n{b}") for b in range(slots)})
+    totalled = running_totals(counts, ["c"], [F.col("value").asc()], **{f"u{b}": F.col(f"n{b}") for b in range(slots)})
     totals = [F.create_map(*[F.lit(x) for k in sums for x in (k, sums[k][f"n{b}"])]) if sums else F.create_map() for b in range(slots)]
     whole = "int" if all(r["n0"] < 2**31 for r in sums.values()) else "bigint"
     # twice the rank, counted from the middle: a whole number of at most n0
     rank = lambda b: (2 * F.col(f"u{b}") - F.col(f"n{b}") - F.element_at(totals[b], F.col("c"))).cast(whole)
-    ranked = stored(ranked.select("c", "value", "n0", F.array(*[rank(b) for b in range(slots)]).alias("ranks")))
+    ranked = stored(totalled.select("c", "value", "n0", F.array(*[rank(b) for b in range(slots)]).alias("ranks")))
+    held.append(ranked)
+    discard(totalled)
     few, size = [], 0
     for k in sorted(sums, key=lambda k: sums[k]["d"]):
         size += sums[k]["d"] * (slots + 1)
@@ -324,47 +338,66 @@ def spearman(df: DataFrame, columns: Sequence[str], sent: int = BROADCAST_VALUES
         own = own.sort_values("value")
         tables[int(k)] = (own["value"].to_numpy(), np.stack(own["ranks"].to_numpy()) / 2.0)
     joined = [k for k in sums if k not in tables]
-    rows = df
+    rows, by_row = df, None
     for k in sorted(joined, key=lambda k: -sums[k]["d"]):  # joins that shuffle come first
         own = ranked.filter(F.col("c") == k).select(F.col("value").alias(names[k]), F.col("n0").alias("_n"), F.col("ranks").alias(f"r{k}"))
         if is_small(own):
             df = attach(df, own, [names[k]], "_n", settle=False)
-        else:
-            found = attach(rows.select("_row", names[k]).filter(F.col(names[k]).isNotNull()), own, [names[k]], "_n", settle=False)
-            df = df.join(found.select("_row", f"r{k}"), "_row", "left")
+            continue
+        found = attach(rows.select("_row", names[k]).filter(F.col(names[k]).isNotNull()), own, [names[k]], "_n", settle=False)
+        # what is joined by row number is dealt and stored one after the other: the disk holds one shuffle at a time
+        if by_row is None:
+            df = by_row = stored(dealt(df, ["_row"], None)[0])
+            held.append(by_row)
+        found = found.select("_row", f"r{k}")
+        held.append(stored(found.repartition(dealt_by(by_row)[1], "_row")))
+        df = df.join(held[-1], "_row", "left")
     df = df.select(*names, *[f"r{k}" for k in joined])
     known = spark.sparkContext.broadcast(tables)  # no more than ``sent`` numbers
+    by_class = [k for c in classes for k in c]
+    starts = [0, *np.cumsum([len(c) for c in classes]).tolist()]
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            n, ranks, present = batch.num_rows, {}, {}
-            for k in range(len(names)):
+        sums_of: dict[tuple[int, int], np.ndarray] = {}
+        for batch in (whole.slice(at, PLANE_ROWS) for whole in batches for at in range(0, whole.num_rows, PLANE_ROWS)):
+            n = batch.num_rows
+            # ranks among the rows where class b is present: one plane per b, the columns by class; 0 where one is missing
+            planes, present = np.zeros((slots, len(names), n)), np.ones((slots, n), bool)
+            for b in range(1, slots):
+                present[b] = batch.column(leads[b - 1]).is_valid().to_numpy(zero_copy_only=False)
+            for at, k in enumerate(by_class):
                 own = batch.column(k)
                 here = own.is_valid().to_numpy(zero_copy_only=False)
-                present[k] = here
-                x = np.zeros((n, slots))
+                x = None
                 if k in known.value:
                     values, r = known.value[k]
-                    x[here] = r[np.searchsorted(values, own.drop_null().to_numpy(zero_copy_only=False) + 0.0)]
+                    x = r[np.searchsorted(values, own.drop_null().to_numpy(zero_copy_only=False) + 0.0)]
                 elif k in joined and here.any():
-                    x[here] = batch.column(len(names) + joined.index(k)).filter(pa.array(here)).flatten().to_numpy(zero_copy_only=False).reshape(-1, slots) / 2.0
-                ranks[k] = x
+                    x = batch.column(len(names) + joined.index(k)).filter(pa.array(here)).flatten().to_numpy(zero_copy_only=False).reshape(-1, slots) / 2.0
+                if x is not None:
+                    planes[:, at, here] = x.T
+            planes *= present[:, None, :]
             for a in range(slots):
+                left = slice(starts[a], starts[a + 1])
                 for b in range(a, slots):
-                    left, right = classes[a], classes[b] if b != a else []
-                    if not (left + right):
+                    right = slice(starts[b], starts[b + 1])
+                    x, y = planes[b, left], planes[a, right]
+                    if a == b:
+                        m = x @ x.T
+                    elif len(x) + len(y):  # products of the two classes, and squares of each
+                        m = np.diag(np.concatenate([np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)]))
+                        m[: len(x), len(x) :] = x @ y.T
+                    else:
                         continue
-                    inside = (present[leads[a - 1]] if a else 1) * (present[leads[b - 1]] if b else 1)
-                    m = np.stack([ranks[k][:, b] for k in left] + [ranks[k][:, a if a else b] for k in right], axis=1)
-                    m = m * np.broadcast_to(np.asarray(inside, float).reshape(-1, 1), m.shape)
-                    held[a, b] = held.get((a, b), 0) + m.T @ m
-        rows = [(a, b, i, j, m[i, j]) for (a, b), m in held.items() for i in range(len(m)) for j in range(i, len(m))]
+                    sums_of[a, b] = sums_of.get((a, b), 0) + m
+        rows = [(a, b, i, j, m[i, j]) for (a, b), m in sums_of.items() for i in range(len(m)) for j in range(i, len(m))]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["a", "b", "i", "j", "v"])
 
     moments = df.mapInArrow(products, "a long, b long, i long, j long, v double").groupBy("a", "b", "i", "j").agg(F.sum("v").alias("v"))
     found = {(r["a"], r["b"], r["i"], r["j"]): r["v"] for r in moments.collect()}  # columns x columns x classes numbers
+    for table in held:
+        discard(table)
     out = []
     for i in range(len(columns)):
         for j in range(i + 1, len(columns)):
